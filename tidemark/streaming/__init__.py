@@ -1,0 +1 @@
+"""Kept empty on purpose: the analysed workload is batch only, so no streaming operator exists."""
