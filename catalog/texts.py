@@ -1,2 +1,284 @@
-QUERIES = {}
-SQL = {}
+"""Text, vocabulary, topic, sequence and embedding queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.behaviour import rounded
+from tidemark.functions.arrays import explode_rows
+from tidemark.functions import scalars as S
+from tidemark.functions import text as TX
+from tidemark.operators import embeddings as EM
+from tidemark.operators import sequences as SQ
+from tidemark.operators import tfidf as TF
+from tidemark.operators import topics as TP
+from tidemark.operators.ranking import top_clusters
+from tidemark.plans import views as V
+
+L, STEP_OVERLAP, CHUNKS = 64, 16, 12
+VOCAB_CAP = SQ.MAX_VOCAB - len(SQ.SPECIALS)
+
+
+def _mixed_texts(spark, sf):
+    """Documents and conversation turns, each followed by a link, a mention and a long run."""
+    p = V.table(spark, sf, "pages").select("page_id", "url")
+    d = V.table(spark, sf, "documents").select((F.col("doc_id") * 2).alias("id"), "text")
+    c = V.table(spark, sf, "conversations").select(((F.col("conv_id") * 8 + F.col("turn")) * 2 + 1).alias("id"), "text")
+    t = d.unionByName(c).join(p, F.floor(F.col("id") / 2) % 250 == F.col("page_id"), "left")
+    tail = F.concat_ws(" ", F.lit("@Jösé_"), "url", F.lit("Soooooo cool :D #Été don't 3.14 ... it's"))
+    return t.select("id", F.concat_ws(" ", "text", tail).alias("text"))
+
+
+def normalize_text(spark, sf):
+    return _mixed_texts(spark, sf).select("id", TX.normalize_text(F.col("text")).alias("clean"))
+
+
+def normalize_text_short(spark, sf):
+    return _mixed_texts(spark, sf).select("id", TX.normalize_text(F.col("text"), TX.SHORT_STOPWORDS).alias("clean"))
+
+
+def normalize_social(spark, sf):
+    return _mixed_texts(spark, sf).select("id", TX.normalize_social(F.col("text")).alias("clean"))
+
+
+def token_counts(spark, sf):
+    clean = _mixed_texts(spark, sf).select("id", TX.normalize_text(F.col("text")).alias("clean"))
+    return clean.select("id", TX.token_count(F.col("clean")).cast("long").alias("n_tokens"))
+
+
+def clean_tokens(spark, sf):
+    """Sub-word pieces (every second word marked as a continuation) back to plain tokens, counted."""
+    d = V.table(spark, sf, "documents")
+    piece = F.when(F.length("w") % 2 == 0, F.concat(F.lit("##"), "w")).otherwise(F.col("w"))
+    t = explode_rows(d, [], F.split("text", " "), "w").select(S.clean_token(piece).alias("token"))
+    return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ngrams_1_2(spark, sf):
+    d = TF.with_terms(V.documents(spark, sf), 2)
+    return explode_rows(d, ["doc_id"], "terms", "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ngrams_1_4_stats(spark, sf):
+    """Document and corpus frequency of every 1..4-gram that is in at least two documents."""
+    stats = TF.term_stats(TF.with_terms(V.documents(spark, sf), 4), "doc_id")
+    return stats.filter(F.col("df") >= 2)
+
+
+def _tfidf(spark, sf, max_n, min_df, max_features):
+    docs = TF.with_terms(V.documents(spark, sf), max_n)
+    model = TF.fit_tfidf(docs, "doc_id", max_n, min_df, TF.MAX_DF, max_features)
+    return rounded(model.long(docs, "doc_id").select("doc_id", "term", "tf", "weight"))
+
+
+def tfidf_unigram(spark, sf):
+    return _tfidf(spark, sf, 1, 5, TF.MAX_FEATURES)
+
+
+def tfidf_bigram(spark, sf):
+    return _tfidf(spark, sf, 2, 3, 5000)
+
+
+def topic_features(spark, sf):
+    out = TP.topic_features(V.documents(spark, sf), V.cluster_map(spark, sf), "doc_id", cmap_max_rows=SQ.MAX_VOCAB)
+    return rounded(out)
+
+
+def top_topics(spark, sf):
+    shares = TP.topic_features(V.documents(spark, sf), V.cluster_map(spark, sf), "doc_id", cmap_max_rows=SQ.MAX_VOCAB)
+    return rounded(top_clusters(shares, 10, "share"))
+
+
+def vocab(spark, sf):
+    return V.vocabulary(spark, sf).select("token", "id", "n")
+
+
+def encode_tokens(spark, sf):
+    ids = SQ.encode_tokens(V.documents(spark, sf), V.vocabulary(spark, sf))
+    return ids.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+def encode_tokens_small_vocab(spark, sf):
+    """A 1,000-token vocabulary, so that unknown tokens occur; joined, not shipped."""
+    docs = V.documents(spark, sf)
+    small = SQ.build_vocab(docs, max_size=1000, min_freq=2)
+    ids = SQ.encode_tokens(docs, small, vocab_max_rows=None, key=["doc_id"])
+    return ids.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+def embedding_coverage(spark, sf):
+    return rounded(EM.embedding_coverage(V.vocabulary(spark, sf), V.word_vectors(spark, sf)))
+
+
+def doc_embeddings(spark, sf):
+    docs = EM.doc_embeddings(V.documents(spark, sf), V.word_vectors(spark, sf), "doc_id", V.DIM)
+    return docs.select("doc_id", F.posexplode_outer("embedding").alias("dim", "x")).filter("x IS NOT NULL").select("doc_id", "dim", F.round("x", 6).alias("x"))
+
+
+def pad_sequences(spark, sf):
+    ids = SQ.encode_tokens(V.documents(spark, sf), V.vocabulary(spark, sf))
+    padded, mask = SQ.pad_sequences(F.col("ids"), L)
+    return ids.select("doc_id", F.array_join(padded, " ").alias("ids"), F.array_join(mask, " ").alias("mask"))
+
+
+def chunk_sequences(spark, sf):
+    ids = SQ.encode_tokens(V.documents(spark, sf), V.vocabulary(spark, sf))
+    chunks = SQ.chunk_sequences(ids.select("doc_id", "ids"), "ids", L, STEP_OVERLAP, CHUNKS)
+    return chunks.select("doc_id", "chunk", F.array_join("chunk_ids", " ").alias("chunk_ids"))
+
+
+def pool_chunks(spark, sf):
+    """Mean over chunk vectors, each the mean word vector of the chunk's tokens."""
+    words, matrix = EM.vector_matrix(V.word_vectors(spark, sf), V.DIM, SQ.MAX_VOCAB)
+    chunks = SQ.chunk_sequences(V.documents(spark, sf), "tokens", L, STEP_OVERLAP, CHUNKS, empty_id="usr")
+    vecs = chunks.select("doc_id", "chunk", EM.mean_vector(F.col("chunk_ids"), words, matrix).alias("vector"))
+    pooled = EM.pool_chunks(vecs, ["doc_id"])
+    return pooled.select("doc_id", F.posexplode("pooled").alias("dim", "x")).select("doc_id", "dim", F.round("x", 6).alias("x"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_text, normalize_text_short, normalize_social, token_counts, clean_tokens, ngrams_1_2, ngrams_1_4_stats,
+        tfidf_unigram, tfidf_bigram, topic_features, top_topics, vocab, encode_tokens, encode_tokens_small_vocab,
+        embedding_coverage, doc_embeddings, pad_sequences, chunk_sequences, pool_chunks,
+    )
+}
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(_q(w) for w in words) + "]"
+
+
+MIXED_SQL = f"""
+mixed AS (
+  SELECT id, concat_ws(' ', text, '@Jösé_', url, {_q("Soooooo cool :D #Été don't 3.14 ... it's")}) AS text
+  FROM (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT (conv_id * 8 + turn) * 2 + 1, text FROM conversations)
+  LEFT JOIN pages ON (id // 2) % 250 = page_id)
+"""
+
+
+def _clean_sql(text: str, stop) -> str:
+    t = f"regexp_replace(lower({text}), {_q(TX.URL_LOWER)}, ' url ', 'g')"
+    t = f"regexp_replace({t}, {_q(TX.MENTION)}, ' usr ', 'g')"
+    return f"list_filter(regexp_extract_all({t}, '[a-z0-9_]+'), lambda w: NOT list_contains({_list(stop)}, w))"
+
+
+# Runs of a repeated character cut to three, without back references: a character goes when the
+# three before it are the same.
+_RUNS = """array_to_string(list_transform(list_filter(
+    list_zip(c, [NULL] || c, [NULL, NULL] || c, [NULL, NULL, NULL] || c),
+    lambda z: z[1] IS NOT NULL AND (z[1] = chr(10) OR NOT coalesce(z[1] = z[2] AND z[2] = z[3] AND z[3] = z[4], false))),
+    lambda z: z[1]), '')"""
+DOCS_SQL = f"docs AS (SELECT doc_id, {_clean_sql('text', TX.ENGLISH_STOPWORDS)} AS toks FROM documents)"
+LONG_SQL = """
+wpos AS (SELECT doc_id, unnest(k) AS w, generate_subscripts(k, 1) AS p
+         FROM (SELECT doc_id, list_filter(toks, lambda w: length(w) >= 2) AS k FROM docs)),
+words AS (SELECT doc_id, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3
+          FROM wpos WINDOW o AS (PARTITION BY doc_id ORDER BY p))
+"""
+
+
+def _grams(n_max: int) -> str:
+    text = {1: "w", 2: "w || ' ' || w1", 3: "w || ' ' || w1 || ' ' || w2", 4: "w || ' ' || w1 || ' ' || w2 || ' ' || w3"}
+    last = {1: "w", 2: "w1", 3: "w2", 4: "w3"}
+    return " UNION ALL ".join(
+        f"SELECT doc_id, {text[n]} AS term FROM words WHERE {last[n]} IS NOT NULL" for n in range(1, n_max + 1)
+    )
+
+
+VOCAB_SQL = f"""
+cnt AS (SELECT w AS token, count(*) AS n FROM (SELECT unnest(toks) AS w FROM docs) WHERE w NOT IN ('<pad>', '<unk>', 'url', 'usr') GROUP BY w),
+voc AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rk FROM cnt QUALIFY rk <= {VOCAB_CAP})
+"""
+CMAP_SQL = "cmap AS (SELECT token, (length(token) * 31 + ascii(token)) % 16 AS cluster FROM voc)"
+WV_SQL = "wv AS (SELECT token, embedding AS v FROM voc JOIN embeddings ON vec_id = rk - 1)"
+ALLV_SQL = """
+allv AS (SELECT token, CAST(rk + 3 AS INTEGER) AS id, n FROM voc
+  UNION ALL SELECT unnest(['<pad>', '<unk>', 'url', 'usr']), unnest([0, 1, 2, 3]), NULL)
+"""
+IDS_SQL = """
+pos AS (SELECT doc_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS p FROM docs),
+ids AS (SELECT d.doc_id, coalesce(list(coalesce(id, 1) ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS ids
+        FROM docs d LEFT JOIN pos USING (doc_id) LEFT JOIN allv ON w = token GROUP BY d.doc_id)
+"""
+TOPIC_SQL = """
+tok AS (SELECT doc_id, unnest(toks) AS w FROM docs),
+tot AS (SELECT doc_id, count(*) AS t FROM tok GROUP BY doc_id),
+topics AS (SELECT doc_id, CAST(cluster AS INTEGER) AS cluster, count(*) AS n, count(*) / any_value(CAST(t AS DOUBLE)) AS share
+           FROM tok JOIN cmap ON w = token JOIN tot USING (doc_id) GROUP BY doc_id, cluster)
+"""
+
+
+def _tfidf_sql(max_n, min_df, max_features):
+    return f"""
+    WITH {DOCS_SQL}, {LONG_SQL},
+    t AS ({_grams(max_n)}),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+    n AS (SELECT count(*) AS n FROM documents),
+    v AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term),
+    kept AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM v, n WHERE df >= {min_df} AND df <= 0.4::DOUBLE * n
+             ORDER BY cf DESC, term LIMIT {max_features}),
+    w AS (SELECT doc_id, term, tf, tf * CAST(idf AS DOUBLE) AS w FROM tf JOIN kept USING (term))
+    SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
+
+
+def _chunks_sql(col):
+    return f"unnest(list_transform(range(0, least(len({col}), {(L - STEP_OVERLAP) * CHUNKS}), {L - STEP_OVERLAP}), lambda s: {col}[s + 1:s + {L}]))"
+
+
+_SOCIAL = f"""
+  s1 AS (SELECT id, regexp_replace(regexp_replace(text, {_q(TX.URL_FORMS)}, ' url ', 'g'), {_q(TX.MENTION)}, ' usr ', 'g') AS x FROM mixed),
+  s1c AS (SELECT id, string_split(x, '') AS c FROM s1),
+  s2 AS (SELECT id, regexp_extract_all({_RUNS}, {_q("(?:" + TX.SOCIAL_TOKEN + ")")}) AS k FROM s1c),
+  s3 AS (SELECT id, list_filter(list_transform(k, lambda w: CASE WHEN regexp_full_match(w, {_q("(?:" + TX.EMOTICON + ")")}) THEN w ELSE lower(w) END),
+               lambda w: NOT list_contains({_list(TX.ENGLISH_STOPWORDS)}, w)) AS k FROM s2)
+"""
+
+SQL = {
+    "normalize_text": f"WITH {MIXED_SQL} SELECT id, array_to_string({_clean_sql('text', TX.ENGLISH_STOPWORDS)}, ' ') AS clean FROM mixed",
+    "normalize_text_short": f"WITH {MIXED_SQL} SELECT id, array_to_string({_clean_sql('text', TX.SHORT_STOPWORDS)}, ' ') AS clean FROM mixed",
+    "normalize_social": f"WITH {MIXED_SQL}, {_SOCIAL} SELECT id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE 'usr' END AS clean FROM s3",
+    "token_counts": f"WITH {MIXED_SQL} SELECT id, len({_clean_sql('text', TX.ENGLISH_STOPWORDS)}) AS n_tokens FROM mixed",
+    "clean_tokens": """
+        WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents)
+        SELECT regexp_replace(lower(w), '[^a-z0-9_]', '', 'g') AS token, count(*) AS n FROM w GROUP BY 1""",
+    "ngrams_1_2": f"""WITH {DOCS_SQL}, {LONG_SQL}, t AS ({_grams(2)})
+        SELECT doc_id, term, count(*) AS n FROM t GROUP BY doc_id, term""",
+    "ngrams_1_4_stats": f"""WITH {DOCS_SQL}, {LONG_SQL}, t AS ({_grams(4)})
+        SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2""",
+    "tfidf_unigram": _tfidf_sql(1, 5, TF.MAX_FEATURES),
+    "tfidf_bigram": _tfidf_sql(2, 3, 5000),
+    "topic_features": f"WITH {DOCS_SQL}, {VOCAB_SQL}, {CMAP_SQL}, {TOPIC_SQL} SELECT doc_id, cluster, n, round(share, 6) AS share FROM topics",
+    "top_topics": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {CMAP_SQL}, {TOPIC_SQL}
+        SELECT cluster, round(sum(share), 6) AS share FROM topics GROUP BY cluster ORDER BY sum(share) DESC, cluster LIMIT 10""",
+    "vocab": f"WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL} SELECT token, id, n FROM allv",
+    "encode_tokens": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL}, {IDS_SQL}
+        SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids""",
+    "encode_tokens_small_vocab": f"""WITH {DOCS_SQL}, {VOCAB_SQL.replace(f"QUALIFY rk <= {VOCAB_CAP}", "WHERE n >= 2 QUALIFY rk <= 996")}, {ALLV_SQL}, {IDS_SQL}
+        SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids""",
+    "embedding_coverage": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {WV_SQL}, {ALLV_SQL}
+        SELECT count(wv.token) AS found, count(*) AS total, round(count(wv.token) / CAST(count(*) AS DOUBLE), 6) AS coverage
+        FROM allv LEFT JOIN wv ON allv.token = wv.token""",
+    "doc_embeddings": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {WV_SQL},
+        tok AS (SELECT doc_id, unnest(toks) AS w FROM docs),
+        c AS (SELECT doc_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM tok JOIN wv ON w = token)
+        SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM c GROUP BY doc_id, dim""",
+    "pad_sequences": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL}, {IDS_SQL}
+        SELECT doc_id, array_to_string(list_resize(ids, {L}, 0), ' ') AS ids,
+               array_to_string(list_transform(range({L}), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ' ') AS mask FROM ids""",
+    "chunk_sequences": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL}, {IDS_SQL},
+        f AS (SELECT doc_id, CASE WHEN len(ids) = 0 THEN [3] ELSE ids END AS ids FROM ids),
+        c AS (SELECT doc_id, {_chunks_sql("ids")} AS k, unnest(range({CHUNKS})) AS chunk FROM f)
+        SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, array_to_string(k, ' ') AS chunk_ids FROM c WHERE k IS NOT NULL""",
+    "pool_chunks": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {WV_SQL},
+        c AS (SELECT doc_id, {_chunks_sql("toks")} AS k, unnest(range({CHUNKS})) AS chunk FROM docs),
+        t AS (SELECT doc_id, chunk, unnest(k) AS w FROM c),
+        x AS (SELECT doc_id, chunk, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM t JOIN wv ON w = token),
+        m AS (SELECT doc_id, chunk, dim, avg(CAST(x AS DOUBLE)) AS x FROM x GROUP BY doc_id, chunk, dim)
+        SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS x FROM m GROUP BY doc_id, dim""",
+}

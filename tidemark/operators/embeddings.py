@@ -11,6 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import explode_rows
 from tidemark.functions.bounds import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
 from tidemark.operators.lookup import token_positions
 
@@ -71,7 +72,7 @@ def doc_embeddings(docs: DataFrame, wv: DataFrame, doc: str, dim: int, tokens: s
     if wv_max_rows is not None and wv_max_rows <= MAX_BROADCAST_ROWS and wv_max_rows * dim * 4 <= MAX_BROADCAST_BYTES:
         words, matrix = vector_matrix(wv, dim, wv_max_rows)
         return docs.withColumn(out, mean_vector(F.col(tokens), words, matrix))
-    counts = docs.select(doc, F.explode(tokens).alias("token")).groupBy(doc, "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_rows(docs, [doc], tokens, "token").groupBy(doc, "token").agg(F.count(F.lit(1)).alias("n"))
     cells = counts.join(wv, "token", "inner").select(doc, "n", F.posexplode("vector").alias("d", "x"))
     dims = cells.groupBy(doc, "d").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("m"))
     per_doc = dims.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("_s"))

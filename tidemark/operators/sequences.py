@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import explode_rows
 from tidemark.functions.bounds import MAX_BROADCAST_ROWS
 from tidemark.operators.lookup import token_positions
 
@@ -27,7 +28,7 @@ def build_vocab(docs: DataFrame, tokens: str = "tokens", max_size: int | None =
     a max_size the numbering is over all distinct tokens.
     """
     counts = (
-        docs.select(F.explode(tokens).alias("token"))
+        explode_rows(docs, [], tokens, "token")
         .filter(~F.col("token").isin(*specials))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -57,7 +58,7 @@ def encode_tokens(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", out
         return docs.withColumn(out, token_positions(F.col(tokens), [r["token"] for r in rows], missing=UNK_ID))
     if not key:
         raise ValueError("an unbounded vocabulary needs the row key")
-    cells = docs.select(*key, F.posexplode(tokens).alias("_pos", "_tok"))
+    cells = docs.select(*key, F.posexplode_outer(tokens).alias("_pos", "_tok")).filter(F.col("_tok").isNotNull())
     # One row per (token, row) before the join: a frequent token meets the vocabulary once per row.
     spots = cells.groupBy(*key, "_tok").agg(F.collect_list("_pos").alias("_at"))
     ids = spots.join(vocab.select(F.col("token").alias("_v"), "id"), F.col("_tok") == F.col("_v"), "left")
@@ -75,7 +76,7 @@ def pad_sequences(ids: Column, length: int = MAX_SEQ_LEN) -> tuple[Column, Colum
     return padded, mask
 
 
-def chunk_sequences(df: DataFrame, ids: str = "ids", length: int = MAX_SEQ_LEN, overlap: int = OVERLAP, max_chunks: int = MAX_CHUNKS, empty_id: int = 3) -> DataFrame:
+def chunk_sequences(df: DataFrame, ids: str = "ids", length: int = MAX_SEQ_LEN, overlap: int = OVERLAP, max_chunks: int = MAX_CHUNKS, empty_id: int | str = 3) -> DataFrame:
     """One row per chunk (chunk, chunk_ids): windows of `length` every length - overlap tokens.
 
     At most `max_chunks`; an empty sequence gives one chunk with the `usr` id. The step runs to the
@@ -87,4 +88,4 @@ def chunk_sequences(df: DataFrame, ids: str = "ids", length: int = MAX_SEQ_LEN,
     chunks = F.when(n > 0, F.transform(starts, lambda s: F.slice(F.col(ids), s + 1, length))).otherwise(
         F.array(F.array(F.lit(empty_id)))
     )
-    return df.select("*", F.posexplode(chunks).alias("chunk", "chunk_ids"))
+    return df.select("*", F.posexplode_outer(chunks).alias("chunk", "chunk_ids"))

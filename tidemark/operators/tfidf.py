@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import explode_rows
 from tidemark.functions.bounds import broadcast_if_bounded
 from tidemark.functions.text import long_tokens, ngrams
 
@@ -38,11 +39,11 @@ def term_stats(docs: DataFrame, doc: str, terms: str = "terms", unique_docs: boo
             F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
             F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))),
         )
-        cells = docs.select(F.explode(marks).alias("e")).select("e.term", "e.first")
+        cells = explode_rows(docs, [], marks, "e").select("e.term", "e.first")
         return cells.groupBy("term").agg(
             F.sum("first").alias("df"), F.sum(1 - F.col("first")).alias("cf")
         )
-    pairs = docs.select(doc, F.explode(terms).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    pairs = explode_rows(docs, [doc], terms, "term").groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
@@ -62,7 +63,7 @@ class TfidfModel:
         count a document holds at most `max_features` rows, so the norm window stays bounded too.
         """
         side = broadcast_if_bounded(self.vocab.select("term", "idx", "idf"), self.max_features)
-        hits = docs.select(doc, F.explode(terms).alias("term")).join(side, "term", "inner")
+        hits = explode_rows(docs, [doc], terms, "term").join(side, "term", "inner")
         tf = hits.groupBy(doc, "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
         raw = tf.withColumn("_w", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(doc)))

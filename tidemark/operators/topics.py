@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import explode_rows
 from tidemark.functions.bounds import MAX_BROADCAST_ROWS, broadcast_if_bounded
 from tidemark.operators.lookup import token_positions
 
@@ -21,7 +22,7 @@ def topic_features(docs: DataFrame, cmap: DataFrame, doc: str, tokens: str = "to
     a map of unknown size.
     """
     side = broadcast_if_bounded(cmap.select(F.col("token").alias("_t"), "cluster"), cmap_max_rows)
-    words = docs.select(doc, F.explode(tokens).alias("_w"))
+    words = explode_rows(docs, [doc], tokens, "_w")
     counts = words.join(side, F.col("_w") == F.col("_t"), "left").groupBy(doc, "cluster").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(doc))
     shares = counts.withColumn("share", F.col("n") / total)
