@@ -1,2 +1,126 @@
-QUERIES = {}
-SQL = {}
+"""Fitted-model queries. Fits have no SQL form, so these are checked by rows and by unit tests.
+
+One configuration each: grids belong to the user's own runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.evaluation import folded
+from tidemark.operators import diagnostics as D
+from tidemark.operators import embeddings as EM
+from tidemark.operators import lsa as LS
+from tidemark.operators import tfidf as TF
+from tidemark.operators.metrics import macro_scores
+from tidemark.operators.sequences import MAX_VOCAB
+from tidemark.plans import families as FA
+from tidemark.plans import models as MO
+from tidemark.plans import views as V
+
+LR = MO.ModelSpec("lr", {"penalty": "l2", "C": 10.0, "max_iter": 20})
+SVM = MO.ModelSpec("rbf_svm", {"C": 10.0, "n_components": 64, "max_iter": 10})
+GBT = MO.ModelSpec("gbt", {"max_depth": 3, "trees": 5})
+MLP = MO.ModelSpec("mlp", {"max_iter": 15})
+USERS = ("n_chars", "n_words", "toxic")
+MESSAGE = ("word_len", "n_lines")
+TEST_FOLD = 1
+
+
+def _setup(spark, sf, text=True, vectors=False, **over):
+    lex = FA.Lexicon.load(V.cluster_map(spark, sf), V.N_CLUSTERS) if text else None
+    wv = FA.WordVectors(*EM.vector_matrix(V.word_vectors(spark, sf), V.DIM, MAX_VOCAB)) if vectors else None
+    return FA.Setup(USERS, MESSAGE, lex, wv, key="doc_id", max_features=2000, **over)
+
+
+def _data(spark, sf, setup):
+    df = FA.tokenized(folded(spark, sf).withColumnRenamed("label", "y_true"), setup)
+    return FA.keep(df.select("doc_id", "fold", "y_true", "tokens", *USERS, *MESSAGE))
+
+
+def _fold_scores(spark, sf, blocks, spec, **over):
+    setup = _setup(spark, sf, text="topics" in blocks, vectors="embedding" in blocks, **over)
+    pred = FA.run_family(_data(spark, sf, setup), blocks, [spec], [setup], TEST_FOLD)[-1]
+    return macro_scores(pred.withColumn("fold", F.lit(TEST_FOLD)), ["fold"])
+
+
+def lr_scores(spark, sf):
+    """All five folds of the Users family."""
+    setup = _setup(spark, sf, text=False)
+    return FA.cross_validate(_data(spark, sf, setup), {"Users": FA.FAMILIES["Users"]}, [LR], [setup])[1]
+
+
+def message_scores(spark, sf):
+    return _fold_scores(spark, sf, FA.FAMILIES["Message"], LR)
+
+
+def fusion_scores(spark, sf):
+    return _fold_scores(spark, sf, FA.FAMILIES["Fusion"], LR)
+
+
+def embedding_fusion_scores(spark, sf):
+    return _fold_scores(spark, sf, FA.EMBEDDING_FUSION, LR)
+
+
+def rbf_svm_scores(spark, sf):
+    return _fold_scores(spark, sf, FA.FAMILIES["Users"], SVM)
+
+
+def gbt_scores(spark, sf):
+    return _fold_scores(spark, sf, FA.FAMILIES["Users"], GBT)
+
+
+def mlp_scores(spark, sf):
+    return _fold_scores(spark, sf, FA.FAMILIES["Users"], MLP)
+
+
+def lsa(spark, sf):
+    docs = FA.keep(TF.with_terms(V.documents(spark, sf), 1))
+    model = TF.fit_tfidf(docs, "doc_id", max_features=500)
+    vecs = model.vectorizer().transform(docs)
+    return LS.components_table(LS.fit_lsa(vecs, "bow", 10, 500), spark)
+
+
+def coef_importance(spark, sf):
+    setup = _setup(spark, sf)
+    _, _, _, clf, blocks, _ = FA.run_family(_data(spark, sf, setup), FA.FAMILIES["Message"], [LR], [setup], TEST_FOLD)
+    return MO.coef_importance(clf, blocks.names_of(FA.FAMILIES["Message"]), spark)
+
+
+def tree_importance(spark, sf):
+    setup = _setup(spark, sf, text=False)
+    _, _, _, clf, blocks, _ = FA.run_family(_data(spark, sf, setup), FA.FAMILIES["Users"], [GBT], [setup], TEST_FOLD)
+    return MO.tree_importance(clf, blocks.names_of(FA.FAMILIES["Users"]), spark)
+
+
+def lofo_refit(spark, sf):
+    setup = _setup(spark, sf, text=False)
+    return FA.lofo_refit(_data(spark, sf, setup), LR, setup, TEST_FOLD)
+
+
+def block_ablation(spark, sf):
+    setup = _setup(spark, sf)
+    return FA.block_ablation(_data(spark, sf, setup), LR, setup, TEST_FOLD)
+
+
+def permutation_importance_fitted(spark, sf):
+    """User columns permuted inside a fitted embedding fusion."""
+    setup = _setup(spark, sf, text=False, vectors=True)
+    df = _data(spark, sf, setup)
+    clf, blocks, _ = FA.refit_score(LR, setup, FA.EMBEDDING_FUSION, *FA.split_fold(df, TEST_FOLD))
+    train, test = FA.split_fold(df, TEST_FOLD)
+    ready = blocks.transform(FA.scaled_users(test, setup, train)).select("doc_id", "fold", "y_true", "embedding", *USERS)
+    scorer = FA.user_scorer(clf, USERS, extra=["embedding"])
+    return D.permutation_importance(scorer, ready, USERS, ["doc_id"], repeats=3)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        lr_scores, message_scores, fusion_scores, embedding_fusion_scores, rbf_svm_scores, gbt_scores, mlp_scores, lsa,
+        coef_importance, tree_importance, lofo_refit, block_ablation, permutation_importance_fitted,
+    )
+}
+
+#: Fits: checked by rows only.
+SQL: dict[str, str] = {}

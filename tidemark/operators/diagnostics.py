@@ -131,9 +131,10 @@ def permuted_scores(scorer: Scorer, test: DataFrame, cols: Sequence[str], key: S
 
     Rows are shuffled once per repeat, not once per feature: each row meets one donor row, the
     features are expanded after the join and folded into confusion counts before the next shuffle.
+    Columns the scorer does not read are pruned; hand it a precomputed message score rather than a
+    wide text vector when only user columns are permuted.
     """
-    need = [*key, *by, *cols, "y_true"]
-    spread = test.select(*need).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    spread = test.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     paired = with_donors(spread, cols, key, [seed, F.col("repeat")], within=[*by, "repeat"])
     swapped = _swap(paired, cols, lambda c: F.col(c + "_donor"))
     groups = [*by, "feature", "repeat"]
@@ -161,7 +162,7 @@ def permutation_importance(
 def lofo_zero(scorer: Scorer, test: DataFrame, cols: Sequence[str], by: Sequence[str] = ("fold",)) -> DataFrame:
     """Zero one scaled column at a time: drop_F1 = base - ablated, positive means useful."""
     base = macro_scores(scorer(test), by).select(*by, F.col("F1").alias("base_F1"))
-    zeroed = _swap(test.select(*by, *cols, "y_true"), cols, lambda c: F.lit(0.0))
+    zeroed = _swap(test, cols, lambda c: F.lit(0.0))
     groups = [*by, "feature"]
     abl = macro_from_confusion(confusion(scorer(zeroed), groups), groups).select(*groups, F.col("F1").alias("abl_F1"))
     return abl.join(base, list(by), "inner").select(

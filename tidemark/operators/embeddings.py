@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import explode_rows
 from tidemark.functions.bounds import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
+from tidemark.functions.vectors import row_sums
 from tidemark.operators.lookup import token_positions
 
 
@@ -48,13 +49,7 @@ def mean_vector(tokens: Column, words: list[str], matrix: np.ndarray) -> Column:
         known = flat >= 0
         rows, flat = rows[known], flat[known]
         n = np.bincount(rows, minlength=len(lengths))
-        sums = np.zeros((len(lengths), dim))
-        # Known tokens are sorted by row: sum each run in one pass, in blocks to bound memory.
-        block = max(1, 4_000_000 // dim)
-        for lo in range(0, len(rows), block):
-            r, f = rows[lo : lo + block], flat[lo : lo + block]
-            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            sums[r[first]] += np.add.reduceat(matrix[f], first, axis=0)
+        sums = row_sums(rows, flat, None, matrix, len(lengths))
         means = sums / np.maximum(n, 1)[:, None]
         offsets = pa.array(np.r_[0, np.cumsum(np.where(n > 0, dim, 0))].astype(np.int32))
         values = pa.array(means[n > 0].ravel())
