@@ -226,7 +226,7 @@ def type1_history_own(spark, sf):
 
 def type2_history(spark, sf):
     p = V.trigger_posts(spark, sf)
-    cutoff = F.to_utc_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp"), F.current_timezone())
+    cutoff = F.from_utc_timestamp(F.lit("2024-01-20 00:00:00").cast("timestamp"), F.current_timezone())
     return TL.type2_history(p, cutoff, direct_repost=F.col("is_quote")).select("user", "id")
 
 

@@ -22,7 +22,7 @@ VOCAB_CAP = SQ.MAX_VOCAB - len(SQ.SPECIALS)
 def _mixed_texts(spark, sf):
     """Documents and conversation turns, each followed by a link, a mention and a long run."""
     p = V.table(spark, sf, "pages").select("page_id", "url")
-    d = V.table(spark, sf, "documents").select((F.col("doc_id") * 2).alias("id"), "text")
+    d = V.spread(V.table(spark, sf, "documents")).select((F.col("doc_id") * 2).alias("id"), "text")
     c = V.table(spark, sf, "conversations").select(((F.col("conv_id") * 8 + F.col("turn")) * 2 + 1).alias("id"), "text")
     t = d.unionByName(c).join(p, F.floor(F.col("id") / 2) % 250 == F.col("page_id"), "left")
     tail = F.concat_ws(" ", F.lit("@Jösé_"), "url", F.lit("Soooooo cool :D #Été don't 3.14 ... it's"))
@@ -48,7 +48,7 @@ def token_counts(spark, sf):
 
 def clean_tokens(spark, sf):
     """Sub-word pieces (every second word marked as a continuation) back to plain tokens, counted."""
-    d = V.table(spark, sf, "documents")
+    d = V.spread(V.table(spark, sf, "documents").select("text"))
     piece = F.when(F.length("w") % 2 == 0, F.concat(F.lit("##"), "w")).otherwise(F.col("w"))
     t = explode_rows(d, [], F.split("text", " "), "w").select(S.clean_token(piece).alias("token"))
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))

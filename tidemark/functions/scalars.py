@@ -18,7 +18,7 @@ def instant(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampType):
         return c
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
-        return F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+        return F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
     return parse_ts(c)
 
 
@@ -30,7 +30,7 @@ def parse_ts(c: Column) -> Column:
     s = F.trim(c.cast("string"))
     zoned = s.rlike(_HAS_TIME) & s.rlike(_HAS_ZONE)
     iso = F.when(zoned, s.try_cast("timestamp")).otherwise(
-        F.to_utc_timestamp(s.try_cast("timestamp"), F.current_timezone())
+        F.from_utc_timestamp(s.try_cast("timestamp"), F.current_timezone())
     )
     feed = F.try_to_timestamp(F.regexp_replace(s, r"^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
     return F.when(s.rlike(r"^\d{4}-"), iso).otherwise(F.when(s.rlike(r"^[A-Za-z]{3} "), feed))

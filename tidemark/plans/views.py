@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input: repartition only when the scan has fewer tasks than cores.
+
+    A large table has far more scan tasks than cores and is left alone, so no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def now_ts():
-    return F.to_utc_timestamp(F.lit(NOW).cast("timestamp"), F.current_timezone())
+    return F.from_utc_timestamp(F.lit(NOW).cast("timestamp"), F.current_timezone())
 
 
 def raw_posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +85,7 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents with normalised tokens."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", normalize_tokens(F.col("text")).alias("tokens"))
 
 
@@ -102,7 +111,7 @@ NUMERIC = ("n_chars", "n_words", "word_len", "n_lines", "toxic")
 
 def labeled_users(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents as the model-ready table: key, label, text and five numerics."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     lab = table(spark, sf, "labels")
     words = F.size(F.split("text", r"\s+"))
     return d.join(lab, "doc_id", "inner").select(
