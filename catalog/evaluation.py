@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from catalog.behaviour import rounded
@@ -126,7 +127,9 @@ def _contributions(spark, sf):
     tf = words.groupBy("fold", "doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     weight = (F.ascii("token") * 7 + F.length("token")) % 11 - 5
     rows = tf.select("fold", "doc_id", "token", (F.col("tf") * weight).cast("double").alias("contrib"))
-    return D.cluster_contributions(rows, V.cluster_map(spark, sf), ["fold", "doc_id"], cmap_max_rows=MAX_VOCAB)
+    out = D.cluster_contributions(rows, V.cluster_map(spark, sf), ["fold", "doc_id"], cmap_max_rows=MAX_VOCAB)
+    # At most one row per document and cluster, read by several branches.
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cluster_saliency_agg(spark, sf):

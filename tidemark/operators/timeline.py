@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,8 +65,10 @@ def type1_history(
     if fallback is None:
         cuts = cuts.select("_u", own.alias("_cut")).filter(F.col("_cut").isNotNull())
     else:
-        spans = cuts.select((own - F.col("_first")).cast("double").alias("span"))
+        # One row per user; the median reads it more than once.
+        spans = cuts.select((own - F.col("_first")).cast("double").alias("span")).persist(StorageLevel.MEMORY_AND_DISK)
         span = exact_medians(spans, ["span"])["span"]
+        spans.unpersist()
         cuts = cuts.select("_u", F.coalesce(own, F.col("_first") + F.lit(span)).alias("_cut"))
     kept = posts.filter(_is_original(posts))
     return kept.join(cuts, F.col(user).eqNullSafe(F.col("_u")), "inner").filter(us < F.col("_cut")).drop("_u", "_cut")
