@@ -40,6 +40,19 @@ def same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
 
+def safe_keys(df: DataFrame, cols: Sequence[str], prefix: str = "_k") -> tuple[DataFrame, list[str]]:
+    """Add never-null stand-ins for key columns: the value as text and a null mark.
+
+    A null-safe join rewrites its keys and so cannot reuse a window's partitioning; plain equality
+    on these columns means the same and can.
+    """
+    names: dict[str, Column] = {}
+    for i, c in enumerate(cols):
+        names[f"{prefix}{i}"] = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        names[f"{prefix}n{i}"] = F.col(c).isNull()
+    return (df.withColumns(names) if names else df), list(names)
+
+
 def hash_of(seed: Sequence[Column | str | int], key: Sequence[str]) -> Column:
     parts = [s if isinstance(s, Column) else F.lit(str(s)) for s in seed]
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts], *[F.col(k).cast("string") for k in key]))
@@ -60,28 +73,24 @@ def hash_rank(
     uniform and keep the order, so rows are ranked inside 16**prefix_digits even buckets per group
     and shifted by the bucket counts before them.
     """
-    within = list(within)
-    if not within:
-        df, within, drop_group = df.withColumn("_all", F.lit(0)), ["_all"], ["_all"]
+    if within:
+        t, group_cols = safe_keys(df, within, "_g")
     else:
-        drop_group = []
-    t = df.withColumn("_h", hash_of(seed, key)).withColumn("_b", F.substring("_h", 1, prefix_digits))
-    sizes = t.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    group = W.partitionBy(*within)
+        t, group_cols = df.withColumn("_g", F.lit(0)), ["_g"]
+    t = t.withColumn("_h", hash_of(seed, key)).withColumn("_b", F.substring("_h", 1, prefix_digits))
+    bucket = [*group_cols, "_b"]
+    sizes = t.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_c"))
+    group = W.partitionBy(*group_cols)
     before = group.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(c).alias("_o_" + c) for c in within],
-        F.col("_b").alias("_o_b"),
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-        F.sum("_c").over(group).alias("_total"),
+        *bucket, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(group).alias("_total")
     )
-    inside = W.partitionBy(*within, "_b").orderBy("_h", *key)
-    ranked = t.withColumn("_in", F.row_number().over(inside))
-    on = same_keys([*within, "_b"], ["_o_" + c for c in within] + ["_o_b"])
-    out = ranked.join(offsets, on, "inner").withColumn(rank, F.col("_in") + F.col("_off"))
+    # The join reuses the partitioning of this window, so rows are shuffled once.
+    ranked = t.withColumn("_in", F.row_number().over(W.partitionBy(*bucket).orderBy("_h", *key)))
+    out = ranked.join(offsets, bucket, "inner").withColumn(rank, F.col("_in") + F.col("_off"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop("_h", "_b", "_c", "_in", "_off", "_total", "_o_b", *["_o_" + c for c in within], *drop_group)
+    return out.drop("_h", "_in", "_off", "_total", *bucket)
 
 
 def top_features(imp: DataFrame, value: str, k: int = 100, by: Sequence[str] = ("fold",), name: str = "feature") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.bounds import broadcast_if_bounded
 from tidemark.operators.numeric import exact_medians
-from tidemark.operators.ranking import newest_per_key, same_keys
+from tidemark.operators.ranking import newest_per_key, safe_keys
 
 # Crawl limits per user, over all users and per page.
 TIMELINE_MAX = 3200
@@ -141,15 +141,16 @@ def ordered_parts(
     a user with a third of all posts is ranked by many tasks. Every post gets a part.
     """
     bucket = F.coalesce(F.floor(F.unix_micros(ts) / F.lit(bucket_seconds * 1_000_000)), F.lit(-(2**62)))
-    t = posts.withColumn("_b", bucket)
-    sizes = t.groupBy(F.col(user).alias("_u"), F.col("_b").alias("_ob")).agg(F.count(F.lit(1)).alias("_c"))
-    before = W.partitionBy("_u").orderBy("_ob").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_u", "_ob", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(user, "_b").orderBy(F.asc_nulls_first(ts), *[F.asc_nulls_first(c) for c in tiebreak])
-    ranked = t.withColumn("_in", F.row_number().over(inside))
-    joined = ranked.join(offsets, same_keys([user, "_b"], ["_u", "_ob"]), "inner")
+    t, who = safe_keys(posts.withColumn("_b", bucket), [user], "_u")
+    hour = [*who, "_b"]
+    sizes = t.groupBy(*hour).agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*who).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*hour, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    inside = W.partitionBy(*hour).orderBy(F.asc_nulls_first(ts), *[F.asc_nulls_first(c) for c in tiebreak])
+    # The join reuses the partitioning of this window.
+    joined = t.withColumn("_in", F.row_number().over(inside)).join(offsets, hour, "inner")
     rank = F.col("_off") + F.col("_in") - 1
-    return joined.withColumn("part", F.floor(rank / F.lit(max_posts)).cast("int")).drop("_b", "_u", "_ob", "_off", "_in")
+    return joined.withColumn("part", F.floor(rank / F.lit(max_posts)).cast("int")).drop("_off", "_in", *hour)
 
 
 def aggregate_text(
