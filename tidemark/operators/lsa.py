@@ -6,7 +6,6 @@ import logging
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -72,7 +71,3 @@ def components_table(model: LsaModel, spark) -> DataFrame:
     return spark.createDataFrame(
         [(i, float(s)) for i, s in enumerate(model.singular_values)], "component int, singular_value double"
     )
-
-
-def as_array(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(col, vector_to_array(col))

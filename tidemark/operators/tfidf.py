@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -112,8 +111,3 @@ def fit_tfidf(
         }
     )
     return TfidfModel(vocab, n, max_n, max_features)
-
-
-def idf_weight(n: int, df: int) -> float:
-    """The smoothed weight as a plain number, for checks."""
-    return math.log((1 + n) / (1 + df)) + 1

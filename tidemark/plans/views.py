@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import instant
 from tidemark.functions.text import normalize_tokens
 from tidemark.operators.behaviour import canonical_posts
 from tidemark.operators.sequences import SPECIALS, build_vocab
@@ -126,7 +125,3 @@ def labeled_users(spark: SparkSession, sf: str) -> DataFrame:
         F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
         F.col("toxic").cast("double").alias("toxic"),
     )
-
-
-def instant_of(df: DataFrame, name: str):
-    return instant(F.col(name), df.schema[name].dataType)
