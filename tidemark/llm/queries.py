@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_main, secrets, token_counts
+from tidemark.llm import bpe, html_main, mixing, secrets, token_counts
 from tidemark.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_mixing(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), cap=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_bpe(spark, sf):
     path = public_tokenizers.path(WORD_BPE)
     ids = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -48,6 +53,6 @@ def op8_secrets(spark, sf):
     )
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets}
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets}
 #: None of these has a SQL form; tests/llm holds their brute-force versions.
 SQL: dict[str, str] = {}
