@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_main, mixing, secrets, token_counts
+from tidemark.llm import bpe, html_main, mixing, quality, secrets, token_counts
 from tidemark.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -53,6 +53,13 @@ def op8_secrets(spark, sf):
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets}
+def op10_quality(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = quality.with_scores(docs, model, least=0.3)
+    return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op10_quality": op10_quality}
 #: None of these has a SQL form; tests/llm holds their brute-force versions.
 SQL: dict[str, str] = {}
