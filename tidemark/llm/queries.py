@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_main, mixing, quality, secrets, token_counts
+from tidemark.llm import bpe, html_main, lm, mixing, quality, secrets, token_counts
 from tidemark.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -28,6 +28,12 @@ def op2_bpe(spark, sf):
     )
 
 
+def op5_lm_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", quality.held_out("doc_id", 7, 2))
+    scored = lm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_html(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
     return pages.select("page_id", "url", html_main.main_text_of(pages).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
@@ -60,6 +66,6 @@ def op10_quality(spark, sf):
     return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op10_quality": op10_quality}
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op10_quality": op10_quality}
 #: None of these has a SQL form; tests/llm holds their brute-force versions.
 SQL: dict[str, str] = {}
