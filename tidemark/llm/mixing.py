@@ -149,3 +149,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         F.col("_target").alias("target"),
         F.coalesce(taken, F.lit(1)).cast("int").alias("copies"),
     ).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The mix itself: every document as often as the mix takes it, all columns unchanged.
+
+    Rows are told apart by all their values; equal rows are interchangeable and share their copies.
+    """
+    values = [F.md5(F.coalesce(text, F.lit(""))).alias("text") if c == text else F.col(f"`{c}`") for c in docs.columns]
+    named = docs.withColumn("_row_key", F.md5(F.to_json(F.struct(*values, F.col(text).isNull().alias("_none")))))
+    copies = mix(named, "_row_key", text, source, weights, cap).groupBy("_row_key").agg(F.sum("copies").alias("_copies"))
+    rows = named.join(copies.filter("_copies > 0"), "_row_key").dropDuplicates(["_row_key"])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, quality, secrets, token_counts
+from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, neardup, quality, secrets, token_counts
 from tidemark.llm.common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op3_ann(spark, sf):
     return ann.nearest(table(spark, sf, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
+def op4_near_duplicates(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op5_lm_scores(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("held_out", quality.held_out("doc_id", 7, 2))
     scored = lm.score(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
@@ -74,6 +78,6 @@ def op10_quality(spark, sf):
     return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality}
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality}
 #: None of these has a SQL form; tests/llm holds their brute-force versions.
 SQL: dict[str, str] = {}
