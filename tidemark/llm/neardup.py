@@ -5,11 +5,12 @@ process with its weight as rate; its arrivals fall on random slots, each slot ke
 shingle stops once it is later than all slots. Two texts agree in a slot with the probability Jaccard
 similarity of their weights. Texts that agree in all slots of a band share a bucket.
 
-Neither all pairs of a bucket are written, nor is a bucket cut off. In rounds, every text of a bucket that still
-holds several classes proposes its nearest partners of other classes, judged by the slots; proposals are
-verified on the shingles and merge classes. The number of proposals grows until no bucket has a candidate
-left that was not proposed, so a class that is tied together early costs one round, whatever its size.
-Large buckets are compared block by block in tasks of their own.
+Neither all pairs of a bucket are written, nor is a bucket cut off. First every text proposes its nearest
+partner of each of its buckets, judged by the slots; proposals are verified on the shingles and tie most classes
+together. Buckets that still hold several classes are then gone through with the shingles at hand: every
+candidate pair of different classes is verified inside the task, classes merge as links are found, and only the
+links that merged something are written, fewer than the bucket has texts. Large buckets are compared block by
+block in tasks of their own, and a pair is only looked at in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
 #: Candidates agree in this share of slots or more: 4.5 standard deviations below 0.8.
 LEAST_SHARE = 0.64
-BLOCK, FIRST, GROWTH = 4096, 1, 8
+BLOCK = 2048
 _U = np.uint64
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -124,81 +125,128 @@ def _sketches(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(_text_key(text).alias("h"), text_or_empty(text).alias("t")).mapInArrow(sketched, "h binary, bands array<long>, sig binary")
 
 
-def _proposals(cells: DataFrame, top: int) -> DataFrame:
-    """Pairs (a, b, more): the nearest `top` candidates of other classes of every text, bucket by bucket.
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+    """(cell, columns) of rows sorted by their first four columns, key, band, i, j."""
+    cell, held = None, []
+    for batch in batches:
+        for row in zip(*(col.to_pylist() for col in batch.columns)):
+            if row[:4] != cell:
+                if cell is not None:
+                    yield cell, [list(c) for c in zip(*held)]
+                cell, held = row[:4], []
+            held.append(row[4:])
+    if cell is not None:
+        yield cell, [list(c) for c in zip(*held)]
 
-    `cells`: key, i, j, block, h, c, sig; a cell is one bucket, or two blocks of a large one. `more` tells
-    that a text of the pair had further candidates.
-    """
+
+def _near(sig: list[bytes], cls: np.ndarray, block: np.ndarray, square: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, partners, slots they share, slots of all) for every row with candidates of other classes."""
+    rows = np.frombuffer(b"".join(sig), "<u2").reshape(len(sig), SLOTS)
     least = int(np.ceil(LEAST_SHARE * SLOTS))
+    for a in range(0, len(rows), 32):
+        part = slice(a, min(a + 32, len(rows)))
+        same = (rows[part, None, :] == rows[None]).sum(axis=2, dtype=np.int16)
+        same[cls[part, None] == cls[None]] = -1
+        if not square:
+            same[block[part, None] == block[None]] = -1
+        for k in np.flatnonzero((same >= least).any(axis=1)):
+            near = np.flatnonzero(same[k] >= least)
+            yield a + k, near, same[k][near], rows
+
 
-    def of_cell(h, c, sig, block, square) -> Iterator[tuple[bytes, bytes, bool]]:
-        n = len(h)
-        if n < 2 or all(x == c[0] for x in c):
-            return
-        rows = np.frombuffer(b"".join(sig), "<u2").reshape(n, SLOTS)
-        cls = np.unique(np.array([x.hex() for x in c]), return_inverse=True)[1]
-        seen: dict[tuple[bytes, bytes], bool] = {}
-        for a in range(0, n, 64):
-            part = slice(a, min(a + 64, n))
-            same = (rows[part, None, :] == rows[None]).sum(axis=2, dtype=np.int16)
-            same[cls[part, None] == cls[None]] = -1
-            if not square:
-                same[block[part, None] == block[None]] = -1
-            for k in np.flatnonzero((same >= least).any(axis=1)):
-                near = np.flatnonzero(same[k] >= least)
-                more = len(near) > top
-                if more:
-                    near = near[np.lexsort((near, -same[k][near]))][:top]
-                for j in near:
-                    pair = (h[a + k], h[j]) if h[a + k] < h[j] else (h[j], h[a + k])
-                    seen[pair] = seen.get(pair, False) or more
-        yield from ((*p, m) for p, m in seen.items())
+def _proposals(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: every text and its nearest candidate in each of its buckets.
+
+    `cells`: key, band, i, j, block, h, sig; a cell is one bucket, or two blocks of a large one.
+    """
 
     def proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        cell, held = None, ([], [], [], [])
+        for (_, _, i, j), (block, h, sig) in _by_cell(batches):
+            out = set()
+            for a, near, share, _ in _near(sig, np.arange(len(h)), np.array(block), i == j):
+                best = min((h[b] for b in near[share == share.max()]))
+                out.add((min(h[a], best), max(h[a], best)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["a", "b"])
 
-        def close():
-            if cell is not None:
-                h, c, sig, block = held
-                order = sorted(range(len(h)), key=h.__getitem__)
-                out.extend(of_cell([h[k] for k in order], [c[k] for k in order], [sig[k] for k in order], np.array([block[k] for k in order]), cell[1] == cell[2]))
+    return _dealt(cells, "block", "h", "sig").mapInArrow(proposed, "a binary, b binary").distinct()
 
-        def flush():
-            columns = list(zip(*out)) or [[]] * 3
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.binary(), pa.bool_()))], ["a", "b", "more"])
 
-        for batch in batches:
-            for key, i, j, block, h, c, sig in zip(*(col.to_pylist() for col in batch.columns)):
-                if (key, i, j) != cell:
-                    close()
-                    cell, held = (key, i, j), ([], [], [], [])
-                for part, value in zip(held, (h, c, sig, block)):
-                    part.append(value)
-            if len(out) > 10_000:
-                yield flush()
-        close()
-        yield flush()
-
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = dealt.select("key", "i", "j", "block", "h", "c", "sig").mapInArrow(proposed, "a binary, b binary, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+def _dealt(cells: DataFrame, *columns: str) -> DataFrame:
+    by = ["key", "band", "i", "j"]
+    return cells.repartition(*by).sortWithinPartitions(*by).select(*by, *columns)
+
+
+def _common(sets: list[tuple[np.ndarray, np.ndarray]], a: int, others: np.ndarray) -> np.ndarray:
+    """Whether a set may reach the similarity with each of others: by the weight and the number of common shingles."""
+    s, w = sets[a]
+    lengths = np.array([len(sets[b][0]) for b in others])
+    every, weights = np.concatenate([sets[b][0] for b in others]), np.concatenate([sets[b][1] for b in others])
+    at = np.minimum(np.searchsorted(s, every), max(len(s) - 1, 0))
+    hit = s[at] == every if len(s) else np.zeros(len(every), bool)
+    starts = np.cumsum(lengths) - lengths
+    add = lambda x: np.add.reduceat(x, starts)
+    share = np.minimum(add(w[at] * hit) / w.sum(), add(weights * hit) / add(weights))
+    return np.maximum(share, add(hit.astype(np.float64)) / np.maximum(lengths, len(s)))
+
+
+def _links(cells: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) that merge classes, of buckets with several: `cells` also has c and set."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, band, i, j), (block, h, c, sig, blobs) in _by_cell(batches):
+            names = {x: k for k, x in enumerate(sorted(set(c)))}
+            if len(names) < 2:
+                continue
+            root = list(range(len(names)))
+
+            def find(k, root=root):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            own = np.array([names[x] for x in c])
+            sets, out = [_unpacked(x) for x in blobs], []
+            for a, near, _, rows in _near(sig, own, np.array(block), i == j):
+                near = near[near > a]
+                # Pairs that agree in an earlier band are looked at there.
+                agree = (rows[near].reshape(-1, BANDS, ROWS) == rows[a].reshape(BANDS, ROWS)).all(axis=2).argmax(axis=1)
+                near = near[agree == band]
+                near = np.array([b for b in near if find(own[b]) != find(own[a])], dtype=np.int64)
+                if not len(near):
+                    continue
+                for b in near[_common(sets, a, near) >= least - 1e-9]:
+                    if find(own[b]) != find(own[a]) and max(similarity(sets[a], sets[b])) >= least - 1e-12:
+                        root[find(own[b])] = find(own[a])
+                        out.append((min(h[a], h[b]), max(h[a], h[b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out)], ["a", "b"])
+
+    return _dealt(cells, "block", "h", "c", "sig", "set").mapInArrow(linked, "a binary, b binary").distinct()
+
+
+def _packed(s: np.ndarray, w: np.ndarray) -> bytes:
+    """Sorted hashes, and their weights if any is above one."""
+    return np.array([len(s)], "<u8").tobytes() + s.astype("<u8").tobytes() + (w.astype("<u4").tobytes() if (w > 1).any() else b"")
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    s = np.frombuffer(blob, "<u8", n, 8)
+    return s, np.frombuffer(blob, "<u4", n, 8 + 8 * n).astype(np.float64) if len(blob) > 8 + 8 * n else np.ones(n)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for one, other in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                x, y = (np.frombuffer(b, "<u8").reshape(2, -1) for b in (one, other))
-                ok.append(max(similarity((x[0], x[1]), (y[0], y[1]))) >= least - 1e-12)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["a", "b", "more", "ok"])
+            blobs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ok = pa.array([max(similarity(_unpacked(x), _unpacked(y))) >= least - 1e-12 for x, y in blobs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     left, right = (sets.select(F.col("h").alias(k), F.col("set").alias("set_" + k)) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "more", "set_a", "set_b")
-    return both.mapInArrow(checked, "a binary, b binary, more boolean, ok boolean")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(checked, "a binary, b binary")
 
 
 def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -209,7 +257,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             texts = batch.column(1).to_pylist()
             doc, s, w = shingles(texts)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
-            blobs = [np.stack([s[a:b], w[a:b].astype(np.uint64)]).astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            blobs = [_packed(s[a:b], w[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["h", "set"])
 
     texts = docs.select(_text_key(text).alias("h"), text_or_empty(text).alias("t"))
@@ -232,52 +280,30 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(h, c) after the links (a, b) between texts: components of the contracted graph."""
-    if classes is None:
-        return components(links).select(F.col("node").alias("h"), F.col("root").alias("c"))
-    named = links
-    for k in ("a", "b"):
-        own = classes.select(F.col("h").alias(k), F.col("c").alias("_c"))
-        named = named.join(own, k, "left").withColumn(k, F.coalesce("_c", k)).drop("_c")
-    moved = components(named.filter("a != b")).select(F.col("node").alias("c"), F.col("root"))
-    old = classes.join(moved, "c", "left").select("h", F.coalesce("root", "c").alias("c"))
-    # Texts that were alone until now are named by themselves in the contracted graph.
-    new = moved.join(classes.select(F.col("h").alias("c")), "c", "left_anti").join(classes.select("c").distinct(), "c", "left_anti")
-    return checkpointed(old.unionByName(new.select(F.col("c").alias("h"), F.col("root").alias("c"))))
+def _cells(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of buckets as rows of cells: one per bucket, or one per pair of blocks of a large bucket."""
+    parts = F.ceil(F.col("n") / block).cast("int")
+    cells = rows.withColumn("block", F.pmod(F.xxhash64("h"), parts).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
 
 def _text_classes(docs: DataFrame, text: str, least: float, block: int) -> DataFrame:
     """(h, c) of the distinct texts that have a near duplicate."""
     sketches = checkpointed(_sketches(docs, text).dropDuplicates(["h"]))
-    rows = sketches.select("h", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpointed(rows.join(shared, "key"))
+    rows = sketches.select("h", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = checkpointed(rows.join(shared, ["key", "band"]))
     wanted = checkpointed(members.select("h").distinct())
     sets = checkpointed(_sets(docs, text, wanted))
-    slots = sketches.select("h", "sig").join(wanted, "h", "left_semi")
-    classes, tried, top = None, None, FIRST
-    while True:
-        open_ = members if classes is None else members.join(classes, "h", "left")
-        open_ = open_.withColumn("c", F.col("h") if classes is None else F.coalesce("c", "h"))
-        if classes is not None:
-            several = open_.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low != _high").select("key")
-            open_ = open_.join(several, "key", "left_semi")
-        parts = F.ceil(F.col("n") / block).cast("int")
-        cells = open_.join(slots, "h").withColumn("block", F.pmod(F.xxhash64("h"), parts).cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        pairs = _proposals(cells, top)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = checkpointed(_verified(pairs, sets, least))
-        tried = checked.select("a", "b") if tried is None else checkpointed(tried.union(checked.select("a", "b")))
-        links = checked.filter("ok").select("a", "b")
-        if links.take(1):
-            classes = _merged(classes, links)
-        if not checked.filter("more").take(1):
-            return classes if classes is not None else members.select("h", F.col("h").alias("c")).limit(0)
-        top *= GROWTH
+    slots = checkpointed(sketches.select("h", "sig").join(wanted, "h", "left_semi"))
+    first = checkpointed(_verified(_proposals(_cells(members.join(slots, "h"), block)), sets, least))
+    classes = components(first).select(F.col("node").alias("h"), F.col("root").alias("c"))
+    open_ = members.join(classes, "h", "left").withColumn("c", F.coalesce("c", "h"))
+    several = open_.groupBy("key", "band").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low != _high")
+    open_ = open_.join(several.select("key", "band"), ["key", "band"], "left_semi")
+    second = checkpointed(_links(_cells(open_.join(slots, "h").join(sets, "h"), block), least))
+    return components(first.union(second)).select(F.col("node").alias("h"), F.col("root").alias("c"))
 
 
 def text_hash(text: str = "text"):
