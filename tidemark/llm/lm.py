@@ -31,7 +31,7 @@ from tidemark.llm.common import checkpointed, small_batches, text_or_empty
 BASE, MU = 1.5, 2000.0
 HASHES, BITS_PER_TOKEN, MAX_FILTER_BYTES, SEGMENTS = 4, 5, 256 << 20, 1024
 #: Size of the table of frequent words that every worker holds.
-FREQUENT = 400_000
+FREQUENT = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end of a text as a word: white space, so no word of a text equals it.
 END = b"\n"
@@ -195,7 +195,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys, n if counts is None else np.bincount(inverse, counts).astype(np.int64)
 
 
-def bloom_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, text: str, segments: int, max_bytes: int) -> tuple[bytes, int]:
+def bloom_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, text: str, segments: int, max_bytes: int) -> tuple[np.ndarray, int]:
     """The filter over single words and pairs of all training texts, and the bits of one segment."""
     seg_bits = 8 * max(64, math.ceil(min(max_bytes * 8, BITS_PER_TOKEN * max(tokens, 1)) / segments / 8))
 
@@ -227,10 +227,12 @@ def bloom_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, text: str
     start = vocabulary.filter(F.col("token") == F.lit(END)).select(F.lit(b"\t").alias("token"), "c")
     rows = train.select(text_or_empty(text).alias("t")).mapInArrow(pairs, schema)
     rows = rows.unionByName(vocabulary.select("token", "c").unionByName(start).mapInArrow(singles, schema))
-    whole = bytearray(seg_bits // 8 * segments)
-    for r in rows.groupBy("seg").applyInPandas(built, "seg int, bits binary").toLocalIterator():
-        whole[r["seg"] * (seg_bits // 8) : (r["seg"] + 1) * (seg_bits // 8)] = r["bits"]
-    return bytes(whole), seg_bits
+    whole = np.zeros((segments, seg_bits // 8), np.uint8)
+    # The filter passes through the driver on its way to the broadcast: at most `max_bytes`, as Arrow buffers.
+    for batch in rows.groupBy("seg").applyInPandas(built, "seg int, bits binary").toArrow().to_batches():
+        for seg, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+            whole[seg] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return whole.reshape(-1), seg_bits
 
 
 def score(
@@ -255,13 +257,14 @@ def score(
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     filter_, seg_bits = bloom_filter(train, vocabulary, total, text, segments, max_filter_bytes)
     bloom = spark.sparkContext.broadcast(filter_)
-    top = vocabulary.orderBy(F.desc("c"), "token").limit(frequent).toPandas()
-    table = spark.sparkContext.broadcast((list(map(bytes, top["token"])), top["c"].to_numpy(np.int64)))
+    top = vocabulary.orderBy(F.desc("c"), "token").limit(frequent).toArrow()
+    table = spark.sparkContext.broadcast((top.column("token").to_pylist(), np.array(top.column("c"), dtype=np.int64)))
+    del top
     norm = math.log10(total + distinct + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = dict(zip(table.value[0], np.log10(table.value[1] + 1.0).tolist()))
-        bits = np.frombuffer(bloom.value, np.uint8)
+        bits = bloom.value
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
             base, sure, rare, times = [], [], [], []
