@@ -21,7 +21,8 @@ def _payload(spark, sf):
     c = V.table(spark, sf, "conversations")
     p = V.table(spark, sf, "pages")
     pid = (F.col("conv_id") * 8 + F.col("turn")).alias("pid")
-    j = c.withColumn("pid", pid).join(p, F.col("pid") % 250 == F.col("page_id"), "left")
+    page = F.col("pid") % p.agg(F.max("page_id") + 1).scalar()
+    j = c.withColumn("pid", pid).withColumn("page", page).join(p, F.col("page") == F.col("page_id"), "left")
     handle = F.get(F.array(*[F.lit(h) for h in _HANDLES]), (F.col("pid") % 40).cast("int"))
     odd = F.col("pid") % 2 == 1
 
@@ -127,7 +128,8 @@ FLAT_SQL = f"""
 flat AS (
   SELECT conv_id * 8 + turn AS pid, text, role, turn, url, (conv_id * 8 + turn) % 2 = 1 AS odd, (conv_id * 8 + turn) % 5 <> 0 AS ent,
          {_H}[(conv_id * 8 + turn) % 40 + 1] AS handle
-  FROM conversations LEFT JOIN pages ON (conv_id * 8 + turn) % 250 = page_id)
+  FROM (SELECT *, (conv_id * 8 + turn) % (SELECT max(page_id) + 1 FROM pages) AS page FROM conversations)
+  LEFT JOIN pages ON page = page_id)
 """
 LABELED_SQL = r"""
 lab AS (

@@ -15,7 +15,7 @@ from tidemark.operators import topics as TP
 from tidemark.operators.ranking import top_clusters
 from tidemark.plans import views as V
 
-L, STEP_OVERLAP, CHUNKS = 64, 16, 12
+L, STEP_OVERLAP = 64, 16
 VOCAB_CAP = SQ.MAX_VOCAB - len(SQ.SPECIALS)
 
 
@@ -24,7 +24,8 @@ def _mixed_texts(spark, sf):
     p = V.table(spark, sf, "pages").select("page_id", "url")
     d = V.spread(V.table(spark, sf, "documents")).select((F.col("doc_id") * 2).alias("id"), "text")
     c = V.table(spark, sf, "conversations").select(((F.col("conv_id") * 8 + F.col("turn")) * 2 + 1).alias("id"), "text")
-    t = d.unionByName(c).join(p, F.floor(F.col("id") / 2) % 250 == F.col("page_id"), "left")
+    page = F.floor(F.col("id") / 2) % p.agg(F.max("page_id") + 1).scalar()
+    t = d.unionByName(c).withColumn("page", page).join(p, F.col("page") == F.col("page_id"), "left")
     tail = F.concat_ws(" ", F.lit("@Jösé_"), "url", F.lit("Soooooo cool :D #Été don't 3.14 ... it's"))
     return t.select("id", F.concat_ws(" ", "text", tail).alias("text"))
 
@@ -80,12 +81,12 @@ def tfidf_bigram(spark, sf):
 
 
 def topic_features(spark, sf):
-    out = TP.topic_features(V.documents(spark, sf), V.cluster_map(spark, sf), "doc_id", cmap_max_rows=SQ.MAX_VOCAB)
+    out = TP.topic_features(V.documents(spark, sf), V.token_clusters(spark, sf), "doc_id", cmap_max_rows=None)
     return rounded(out)
 
 
 def top_topics(spark, sf):
-    shares = TP.topic_features(V.documents(spark, sf), V.cluster_map(spark, sf), "doc_id", cmap_max_rows=SQ.MAX_VOCAB)
+    shares = TP.topic_features(V.documents(spark, sf), V.token_clusters(spark, sf), "doc_id", cmap_max_rows=None)
     return rounded(top_clusters(shares, 10, "share"))
 
 
@@ -123,14 +124,14 @@ def pad_sequences(spark, sf):
 
 def chunk_sequences(spark, sf):
     ids = SQ.encode_tokens(V.documents(spark, sf), V.vocabulary(spark, sf))
-    chunks = SQ.chunk_sequences(ids.select("doc_id", "ids"), "ids", L, STEP_OVERLAP, CHUNKS)
+    chunks = SQ.chunk_sequences(ids.select("doc_id", "ids"), "ids", L, STEP_OVERLAP)
     return chunks.select("doc_id", "chunk", F.array_join("chunk_ids", " ").alias("chunk_ids"))
 
 
 def pool_chunks(spark, sf):
     """Mean over chunk vectors, each the mean word vector of the chunk's tokens."""
     words, matrix = EM.vector_matrix(V.word_vectors(spark, sf), V.DIM, SQ.MAX_VOCAB)
-    chunks = SQ.chunk_sequences(V.documents(spark, sf), "tokens", L, STEP_OVERLAP, CHUNKS, empty_id="usr")
+    chunks = SQ.chunk_sequences(V.documents(spark, sf), "tokens", L, STEP_OVERLAP, empty_id="usr")
     vecs = chunks.select("doc_id", "chunk", EM.mean_vector(F.col("chunk_ids"), words, matrix).alias("vector"))
     pooled = EM.pool_chunks(vecs, ["doc_id"])
     return pooled.select("doc_id", F.posexplode("pooled").alias("dim", "x")).select("doc_id", "dim", F.round("x", 6).alias("x"))
@@ -157,8 +158,9 @@ def _list(words) -> str:
 MIXED_SQL = f"""
 mixed AS (
   SELECT id, concat_ws(' ', text, '@Jösé_', url, {_q("Soooooo cool :D #Été don't 3.14 ... it's")}) AS text
-  FROM (SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT (conv_id * 8 + turn) * 2 + 1, text FROM conversations)
-  LEFT JOIN pages ON (id // 2) % 250 = page_id)
+  FROM (SELECT *, (id // 2) % (SELECT max(page_id) + 1 FROM pages) AS page FROM (
+    SELECT doc_id * 2 AS id, text FROM documents UNION ALL SELECT (conv_id * 8 + turn) * 2 + 1, text FROM conversations))
+  LEFT JOIN pages ON page = page_id)
 """
 
 
@@ -196,6 +198,7 @@ cnt AS (SELECT w AS token, count(*) AS n FROM (SELECT unnest(toks) AS w FROM doc
 voc AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS rk FROM cnt QUALIFY rk <= {VOCAB_CAP})
 """
 CMAP_SQL = "cmap AS (SELECT token, (length(token) * 31 + ascii(token)) % 16 AS cluster FROM voc)"
+ALL_CMAP_SQL = "cmap AS (SELECT token, (length(token) * 31 + ascii(token)) % 16 AS cluster FROM cnt)"
 WV_SQL = "wv AS (SELECT token, embedding AS v FROM voc JOIN embeddings ON vec_id = rk - 1)"
 ALLV_SQL = """
 allv AS (SELECT token, CAST(rk + 3 AS INTEGER) AS id, n FROM voc
@@ -228,7 +231,9 @@ def _tfidf_sql(max_n, min_df, max_features):
 
 
 def _chunks_sql(col):
-    return f"unnest(list_transform(range(0, least(len({col}), {(L - STEP_OVERLAP) * CHUNKS}), {L - STEP_OVERLAP}), lambda s: {col}[s + 1:s + {L}]))"
+    step = L - STEP_OVERLAP
+    numbers = f"unnest(range((len({col}) + {step - 1}) // {step})) AS chunk"
+    return f"unnest(list_transform(range(0, len({col}), {step}), lambda s: {col}[s + 1:s + {L}])) AS k, {numbers}"
 
 
 _SOCIAL = f"""
@@ -253,8 +258,8 @@ SQL = {
         SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2""",
     "tfidf_unigram": _tfidf_sql(1, 5, TF.MAX_FEATURES),
     "tfidf_bigram": _tfidf_sql(2, 3, 5000),
-    "topic_features": f"WITH {DOCS_SQL}, {VOCAB_SQL}, {CMAP_SQL}, {TOPIC_SQL} SELECT doc_id, cluster, n, round(share, 6) AS share FROM topics",
-    "top_topics": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {CMAP_SQL}, {TOPIC_SQL}
+    "topic_features": f"WITH {DOCS_SQL}, {VOCAB_SQL}, {ALL_CMAP_SQL}, {TOPIC_SQL} SELECT doc_id, cluster, n, round(share, 6) AS share FROM topics",
+    "top_topics": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALL_CMAP_SQL}, {TOPIC_SQL}
         SELECT cluster, round(sum(share), 6) AS share FROM topics GROUP BY cluster ORDER BY sum(share) DESC, cluster LIMIT 10""",
     "vocab": f"WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL} SELECT token, id, n FROM allv",
     "encode_tokens": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL}, {IDS_SQL}
@@ -273,10 +278,10 @@ SQL = {
                array_to_string(list_transform(range({L}), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END), ' ') AS mask FROM ids""",
     "chunk_sequences": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALLV_SQL}, {IDS_SQL},
         f AS (SELECT doc_id, CASE WHEN len(ids) = 0 THEN [3] ELSE ids END AS ids FROM ids),
-        c AS (SELECT doc_id, {_chunks_sql("ids")} AS k, unnest(range({CHUNKS})) AS chunk FROM f)
+        c AS (SELECT doc_id, {_chunks_sql("ids")} FROM f)
         SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, array_to_string(k, ' ') AS chunk_ids FROM c WHERE k IS NOT NULL""",
     "pool_chunks": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {WV_SQL},
-        c AS (SELECT doc_id, {_chunks_sql("toks")} AS k, unnest(range({CHUNKS})) AS chunk FROM docs),
+        c AS (SELECT doc_id, {_chunks_sql("toks")} FROM docs),
         t AS (SELECT doc_id, chunk, unnest(k) AS w FROM c),
         x AS (SELECT doc_id, chunk, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS dim FROM t JOIN wv ON w = token),
         m AS (SELECT doc_id, chunk, dim, avg(CAST(x AS DOUBLE)) AS x FROM x GROUP BY doc_id, chunk, dim)

@@ -23,12 +23,13 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int | None) -> DataFrame:
 
 
 def checked_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Run `df` once and return its rows as a broadcast table; more than `max_rows` is an error.
+    """Run `df` once and return its rows as a broadcast table; a larger result is kept by its partitions.
 
     For results that are small by nature (a few rows per fold or column) and must be read
     identically by several branches of a plan.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"expected at most {max_rows} rows")
+        # Too large to ship: written once if the cluster has a checkpoint folder, else cached, and joined as it is.
+        return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

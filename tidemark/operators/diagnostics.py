@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.bounds import MAX_BROADCAST_ROWS, broadcast_if_bounded, checked_small
+from tidemark.functions.bounds import broadcast_if_bounded, checked_small
 from tidemark.operators.metrics import confusion, macro_from_confusion, macro_scores
 from tidemark.operators.splits import DEFAULT_SEED, with_donors
 
@@ -173,7 +173,7 @@ def lofo_zero(scorer: Scorer, test: DataFrame, cols: Sequence[str], by: Sequence
 # ---- cluster saliency and occlusion on additive scorers ----------------------------------------
 
 
-def cluster_contributions(tokens: DataFrame, cmap: DataFrame, doc: Sequence[str], cmap_max_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+def cluster_contributions(tokens: DataFrame, cmap: DataFrame, doc: Sequence[str], cmap_max_rows: int | None = None) -> DataFrame:
     """(doc..., cluster, contrib, saliency) from (doc..., token, contrib); unmapped cluster is null.
 
     Saliency adds absolute contributions, contrib keeps the sign.

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import scalars as S
 from tidemark.functions.bounds import checked_small
+from tidemark.operators.ranking import safe_keys
 
 log = logging.getLogger(__name__)
 
@@ -38,12 +39,14 @@ def median_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     sketch's error. The sketch rows, one per column and group, are read to the driver and broadcast.
     """
     by = list(by)
-    keys = [*by, "cid"]
-    x = _long(df, cols, by)
+    # A null group is a group: joins go by stand-ins that are never null.
+    x, safe = safe_keys(_long(df, cols, by), by)
+    joined = [*safe, "cid"]
+    keys = [*by, *joined]
     sketch = x.groupBy(*keys).agg(F.percentile_approx("v", list(_CUTS), 2000).alias("cuts"))
     # Read once: both uses below must see the same cut points, and a sketch may differ when re-run.
-    cuts = checked_small(sketch)
-    b = x.join(cuts, keys, "inner").select(
+    cuts = checked_small(sketch.drop(*by))
+    b = x.join(cuts, joined, "inner").select(
         *keys, "v", F.size(F.filter("cuts", lambda q: q < F.col("v"))).alias("bucket")
     )
     per_value = b.groupBy(*keys, "bucket")
@@ -55,8 +58,8 @@ def median_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     lo = F.floor((F.col("n") + 1) / 2)
     hi = F.floor(F.col("n") / 2) + 1
     inside = (hi > F.col("before")) & (lo <= F.col("before") + F.col("c"))
-    wanted = sizes.filter(inside).select(*keys, "bucket", "before", lo.alias("lo"), hi.alias("hi"))
-    values = b.join(wanted, [*keys, "bucket"], "inner").groupBy(*keys, "bucket", "before", "lo", "hi", "v").agg(
+    wanted = sizes.filter(inside).select(*joined, "bucket", "before", lo.alias("lo"), hi.alias("hi"))
+    values = b.join(wanted, [*joined, "bucket"], "inner").groupBy(*keys, "bucket", "before", "lo", "hi", "v").agg(
         F.count(F.lit(1)).alias("c")
     )
     run = W.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
@@ -67,7 +70,7 @@ def median_table(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
         hit = (F.col("last") >= F.col(rank)) & (F.col("last") - F.col("c") < F.col(rank))
         return F.max(F.when(hit, F.col("v")))
 
-    return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias("median"))
+    return ranked.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias("median")).drop(*safe)
 
 
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:

@@ -76,15 +76,17 @@ def pad_sequences(ids: Column, length: int = MAX_SEQ_LEN) -> tuple[Column, Colum
     return padded, mask
 
 
-def chunk_sequences(df: DataFrame, ids: str = "ids", length: int = MAX_SEQ_LEN, overlap: int = OVERLAP, max_chunks: int = MAX_CHUNKS, empty_id: int | str = 3) -> DataFrame:
+def chunk_sequences(df: DataFrame, ids: str = "ids", length: int = MAX_SEQ_LEN, overlap: int = OVERLAP, max_chunks: int | None = None, empty_id: int | str = 3) -> DataFrame:
     """One row per chunk (chunk, chunk_ids): windows of `length` every length - overlap tokens.
 
-    At most `max_chunks`; an empty sequence gives one chunk with the `usr` id. The step runs to the
+    All of a sequence, or its first `max_chunks` when asked for; an empty sequence gives one chunk with the `usr` id. The step runs to the
     end of the sequence, so the last chunk may lie inside the one before it.
     """
     step = max(1, length - overlap)
     n = F.size(ids)
-    starts = F.slice(F.sequence(F.lit(0), n - 1, F.lit(step)), 1, max_chunks)
+    starts = F.sequence(F.lit(0), n - 1, F.lit(step))
+    if max_chunks is not None:
+        starts = F.slice(starts, 1, max_chunks)
     chunks = F.when(n > 0, F.transform(starts, lambda s: F.slice(F.col(ids), s + 1, length))).otherwise(
         F.array(F.array(F.lit(empty_id)))
     )

@@ -10,11 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import explode_rows
-from tidemark.functions.bounds import MAX_BROADCAST_ROWS, broadcast_if_bounded
+from tidemark.functions.bounds import broadcast_if_bounded
 from tidemark.operators.lookup import token_positions
 
 
-def topic_features(docs: DataFrame, cmap: DataFrame, doc: str, tokens: str = "tokens", cmap_max_rows: int | None = MAX_BROADCAST_ROWS) -> DataFrame:
+def topic_features(docs: DataFrame, cmap: DataFrame, doc: str, tokens: str = "tokens", cmap_max_rows: int | None = None) -> DataFrame:
     """(doc, cluster, n, share): tokens per cluster over all tokens of the document.
 
     Tokens are counted per (doc, cluster) with map-side combine; unmapped tokens form one null

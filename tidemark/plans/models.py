@@ -27,8 +27,6 @@ LR_TEXT_NGRAMS = (1, 2, 3, 4)
 TREE_TEXT_NGRAMS = (1, 2)
 TEXT_MIN_DFS = (2, 3, 5)
 MLP_HIDDEN = (128, 64, 32)
-#: Training rows one task of an iterative fit should at least see.
-ROWS_PER_TASK = 20_000
 GBT_GRID = (
     {"max_depth": 3, "min_child": 1, "rate": 0.10, "trees": 300},
     {"max_depth": 3, "min_child": 2, "rate": 0.05, "trees": 600},
@@ -144,12 +142,10 @@ _FIT = {"lr": fit_lr, "rbf_svm": fit_rbf_svm, "gbt": fit_gbt, "mlp": fit_mlp}
 def fit(spec: ModelSpec, df: DataFrame, features: str = "features", label: str = "y_true", n: int | None = None) -> Classifier:
     """Fit on a (cached) feature table.
 
-    Every iteration is a job over all partitions, so a small table is read by few tasks; a large
-    one keeps its partitions, as coalesce never adds any. The count fills the cache at full width.
+    The partitions of the input decide the tasks of every iteration, at any size.
     """
     n = df.count() if n is None else n
-    tasks = max(1, -(-n // ROWS_PER_TASK))
-    return _FIT[spec.kind](df.coalesce(tasks), features, label, n, **spec.params)
+    return _FIT[spec.kind](df, features, label, n, **spec.params)
 
 
 def coef_importance(clf: Classifier, names: list[str], spark) -> DataFrame:

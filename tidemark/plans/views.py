@@ -98,6 +98,12 @@ def cluster_map(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("token", ((F.length("token") * 31 + F.ascii("token")) % N_CLUSTERS).cast("int").alias("cluster"))
 
 
+def token_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every token of the documents, without the special ones, to one of 16 clusters."""
+    t = documents(spark, sf).select(F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull() & ~F.col("token").isin(*SPECIALS)).distinct()
+    return t.select("token", ((F.length("token") * 31 + F.ascii("token")) % N_CLUSTERS).cast("int").alias("cluster"))
+
+
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings keyed by vocabulary rank: the most frequent token has vector 0, and so on."""
     v = vocabulary(spark, sf).filter(F.col("id") >= len(SPECIALS))

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the cluster-map reader stops after this many entries.
-CLUSTER_CAP = 200_000
-
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with an order key that follows the file: block start, then position in the block."""
@@ -21,20 +18,20 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_cluster_map(spark: SparkSession, path: str, cap: int = CLUSTER_CAP) -> tuple[DataFrame, int]:
+def read_cluster_map(spark: SparkSession, path: str, cap: int | None = None) -> tuple[DataFrame, int]:
     """((token, cluster) table, n_clusters = max + 1) from `token ... <int id>` lines.
 
-    Blank and one-field lines are skipped, a last field that is no integer stops the job, only the
-    first `cap` entries count, and of repeated tokens the last line wins.
+    Blank and one-field lines are skipped, a last field that is no integer stops the job, and of
+    repeated tokens the last line wins. All entries are read unless a `cap` asks for the first ones.
     """
     f = F.split(F.col("line"), r"\s+")
     entries = (
         _numbered_lines(spark, path)
         .withColumn("f", f)
         .filter((F.col("line") != "") & (F.size("f") >= 2))
-        .orderBy("at")
-        .limit(cap)
     )
+    if cap is not None:
+        entries = entries.orderBy("at").limit(cap)
     last = F.element_at("f", -1)
     cluster = F.when(last.rlike(r"^[+-]?\d+$"), last.try_cast("int"))
     checked = F.coalesce(

@@ -37,7 +37,7 @@ def flatten_posts(raw: DataFrame) -> DataFrame:
         (F.coalesce(F.size(refs), F.lit(0)) > 0).alias("is_retweet"),
         F.exists(F.coalesce(refs["type"], F.array().cast("array<string>")), lambda t: F.coalesce(t == "quoted", F.lit(False))).alias("is_quote"),
         F.exists(F.coalesce(refs["type"], F.array().cast("array<string>")), lambda t: F.coalesce(t == "replied_to", F.lit(False))).alias("is_reply"),
-        F.col("attachments").isNotNull().alias("has_media"),
+        F.coalesce(F.to_json("attachments") != "{}", F.lit(False)).alias("has_media"),
         F.array_join(_field_list(ent["urls"], "expanded_url"), ",").alias("urls"),
         F.array_join(_field_list(ent["mentions"], "username"), ",").alias("mentions"),
         F.array_join(_field_list(ent["hashtags"], "tag"), ",").alias("hashtags"),
