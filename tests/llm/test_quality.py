@@ -19,10 +19,10 @@ def taught(spark):
 
 def test_separates_and_scores_equal_the_rules_by_hand(spark, taught):
     docs, _, model = taught
-    out = quality.with_features(docs).withColumn("score", model.score("_f.")).collect()
+    out = quality.with_features(docs).withColumn("score", model.score("_f_")).collect()
     assert len(out) == docs.count() and model.weights
     for r in out:
-        f = r["_f"].asDict()
+        f = {n: r["_f_" + n] for n in quality.features()}
         logit = model.intercept + sum(w * all((f[n] <= t) if low else (f[n] > t) for n, low, t in rule.bounds) for rule, w in model.weights)
         assert math.isclose(r.score, 1 / (1 + math.exp(-logit)), rel_tol=1e-9)
     held = [r for r in out if r.doc_id and r.doc_id >= 100 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]

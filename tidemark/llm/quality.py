@@ -49,10 +49,10 @@ def features() -> dict[str, Column]:
     """What the rules look at, from the columns of `statistics`; a text without words has zeros."""
 
     def per(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(F.col("_s." + a), F.col("_s." + b)), F.lit(0.0))
+        return F.coalesce(F.try_divide(F.col("_s_" + a), F.col("_s_" + b)), F.lit(0.0))
 
     return {
-        "log_words": F.log1p(F.col("_s.words")),
+        "log_words": F.log1p(F.col("_s_words")),
         "word_length": per("chars", "words"),
         "distinct_share": per("distinct_words", "words"),
         "upper_share": per("upper", "chars"),
@@ -112,9 +112,13 @@ def held_out(key: str, folds: int, fold: int) -> Column:
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` and one struct column _f of the features; statistics are computed once, whatever the rules reuse."""
-    counted = docs.withColumn("_s", F.struct(*[c.alias(n) for n, c in statistics(text).items()]))
-    return counted.withColumn("_f", F.struct(*[c.alias(n) for n, c in features().items()])).drop("_s")
+    """`docs` and a column _f_<name> for each feature.
+
+    Plain columns, not a struct: fields of a struct would be inlined into every rule, and each use would
+    count through the text again.
+    """
+    counted = docs.withColumns({"_s_" + n: c for n, c in statistics(text).items()})
+    return counted.withColumns({"_f_" + n: c for n, c in features().items()}).drop(*["_s_" + n for n in statistics(text)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, max_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -127,8 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.orderBy(F.xxhash64("_k"), "_k", "label").limit(max_rows)
     names = list(features())
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k")
-    rows = with_features(rows, "_t").select("label", array_to_vector(F.array(*[F.col("_f." + n) for n in names])).alias("features"))
-    rows = checkpointed(rows)
+    rows = checkpointed(with_features(rows, "_t").select("label", *["_f_" + n for n in names]))
+    rows = rows.withColumn("features", array_to_vector(F.array(*["_f_" + n for n in names]))).persist()
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         import math
@@ -139,12 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         numTrees=TREES, maxDepth=DEPTH, bootstrap=False, featureSubsetStrategy="onethird", minInstancesPerNode=5, maxBins=64, seed=SEED
     ).fit(rows)
     rules = tree_rules(forest.toDebugString, names)
-    from pyspark.ml.functions import vector_to_array
-
-    values = rows.select("label", F.struct(*[vector_to_array("features")[i].alias(n) for i, n in enumerate(names)]).alias("_f"))
-    values = values.select("label", array_to_vector(F.array(*[r.column("_f.") for r in rules])).alias("features")).persist()
+    values = rows.select("label", array_to_vector(F.array(*[r.column("_f_") for r in rules])).alias("features")).persist()
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=PENALTY, standardization=False, maxIter=100).fit(values)
     values.unpersist()
+    rows.unpersist()
     return Model(lasso.intercept, tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients) if abs(w) > 1e-6))
 
 
@@ -153,5 +155,5 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", least: float
 
     Null and empty texts have all-zero statistics and get the score of the rules that these meet.
     """
-    scored = with_features(docs, text).withColumn("score", model.score("_f.")).drop("_f")
+    scored = with_features(docs, text).withColumn("score", model.score("_f_")).drop(*["_f_" + n for n in features()])
     return scored.withColumn("predicted", (F.col("score") >= least).cast("int"))
