@@ -42,7 +42,7 @@ def classes_by_hand(rows, near=None):
     groups = defaultdict(list)
     for i, t in rows:
         groups[find(texts.index(t or ""))].append(i)
-    return sorted(sorted(g, key=str) for g in groups.values())
+    return sorted((sorted(g, key=str) for g in groups.values()), key=str)
 
 
 def grouped(out):
@@ -50,7 +50,7 @@ def grouped(out):
     for r in out:
         groups[r.class_id].append(r.doc_id)
         assert r.class_size >= 1
-    return sorted(sorted(g, key=str) for g in groups.values())
+    return sorted((sorted(g, key=str) for g in groups.values()), key=str)
 
 
 def edited(rnd, words, n):
