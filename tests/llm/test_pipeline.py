@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from tests.llm import edge_rows
-from tests.llm.test_mixing import holds, reshared
+from tests.llm.test_mixing import WORD, holds, reshared
 from tests.llm.test_neardup import classes_by_hand
 from tests.llm.test_scans import base
 from tidemark.llm import quality
@@ -63,7 +63,7 @@ def test_secrets_are_masked(stages):
 
 def test_mixture(spark, stages):
     docs, rows = stages[3].collect(), Counter(r.doc_id for r in stages[4].collect())
-    size = {d.doc_id: len((d.text or "").split()) for d in docs}
+    size = {d.doc_id: len(WORD.findall(d.text or "")) for d in docs}
 
     sizes = Counter()
     for d in docs:
