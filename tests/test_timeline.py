@@ -73,6 +73,12 @@ def test_parse_ts_and_numbers(spark):
     )
     epoch = 1704067200
     assert [r[0] for r in df.select(F.unix_seconds(S.parse_ts(F.col("s")))).collect()] == [epoch] * 4 + [None] * 2
+    more = ["1704067200", "1704067200000", "1704067200000000", "1704067200000000000", "2024/01/01 00:00:00", "2024/1/1", "01/01/2024", "1/1/2024 00:00", "Jan 1 2024 00:00", "Jan 1, 2024", "Jan 1 2024 00:00:00"]
+    forms = spark.createDataFrame([(i, s) for i, s in enumerate([*more, "17", "13/45/2024", "Foo 1 2024"])], "i int, s string")
+    got = forms.select("i", F.unix_seconds(S.parse_ts(F.col("s")))).orderBy("i").collect()
+    assert [r[1] for r in got] == [epoch] * len(more) + [None] * 3
+    long = spark.createDataFrame([(1704067200,), (None,)], "t long")
+    assert [r[0] for r in long.select(F.unix_seconds(S.instant(F.col("t"), long.schema["t"].dataType))).collect()] == [epoch, None]
     nums = spark.createDataFrame([(" 12 ",), ("1e3",), ("x1",), ("",), (None,)], "s string")
     assert [r[0] for r in nums.select(S.to_num(F.col("s"))).collect()] == [12.0, 1000.0, None, None, None]
 
@@ -149,6 +155,22 @@ def test_type1_moves_chosen_users_to_the_median_point(spark):
     assert rows(got, "id") == [(0,), (1,), (10,), (11,), (12,), (2,)]
 
 
+def test_type1_without_any_trigger_keeps_originals(spark):
+    data = [("a", i, at(1 + i), i == 2, False, False, 0.0) for i in range(4)] + [("a", 9, None, False, False, False, 0.0)]
+    posts = B.canonical_posts(spark.createDataFrame(data, POST))
+    assert rows(TL.type1_history(posts, F.lit(False)), "id") == [(0,), (1,), (3,)]
+    assert rows(TL.type1_history(posts, F.lit(False), fallback=None), "id") == []
+
+
+def test_posts_without_time_are_split(spark):
+    data = [("u", i, None, False, False, False, 0.0) for i in range(50)] + [("u", 99, at(1), False, False, False, 0.0)]
+    posts = B.canonical_posts(spark.createDataFrame(data, POST)).withColumn("text", F.concat(F.lit("t"), "id"))
+    parts = sorted(TL.aggregate_text(posts, max_posts=20).collect(), key=lambda r: r["part"])
+    assert [r["n_posts"] for r in parts] == [20, 20, 11]
+    words = " ".join(r["aggr_text"] for r in parts).split()
+    assert words[-1] == "t99" and sorted(words) == sorted(f"t{i}" for i in [*range(50), 99])
+
+
 def test_capped_take_pages(spark):
     posts = B.canonical_posts(spark.createDataFrame([(u, i, at(1, i % 60), False, False, False, 0.0) for u, base in (("a", 0), ("b", 1000), ("c", 2000)) for i in range(base, base + 30)], POST))
     roster = spark.createDataFrame([("a", 0, 25), ("b", 1, 99), ("c", 2, 99)], "user string, roster_order int, total_posts int")

@@ -11,6 +11,8 @@ DAY_US = 86_400_000_000.0
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _HAS_ZONE = r"(?i)\d(Z|UTC|\s?[+-]\d{2}:?\d{2})\s*$"
 _HAS_TIME = r"\d{2}:\d{2}"
+#: Digits of an epoch number in seconds, milli-, micro- and nanoseconds, and its microseconds per unit.
+_EPOCHS = {10: 1e6, 13: 1e3, 16: 1.0, 19: 1e-3}
 
 
 def instant(c: Column, dtype: T.DataType) -> Column:
@@ -19,21 +21,35 @@ def instant(c: Column, dtype: T.DataType) -> Column:
         return c
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
         return F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+    if isinstance(dtype, T.NumericType):
+        return parse_ts(c.cast("decimal(20,0)"))
     return parse_ts(c)
 
 
 def parse_ts(c: Column) -> Column:
     """Text to UTC instant, unreadable text to null.
 
-    ISO forms with or without a zone, and the feed form `Wed Oct 10 20:19:24 +0000 2018`.
+    ISO forms with or without a zone, also with slashes; month/day/year; `Jan 5 2024 10:00`; the feed
+    form `Wed Oct 10 20:19:24 +0000 2018`; epoch numbers by their digits (10, 13, 16 or 19).
     """
     s = F.trim(c.cast("string"))
+    number = s.try_cast("decimal(20,0)")
+    epoch = F.lit(None).cast("timestamp")
+    for digits, us in _EPOCHS.items():
+        at = F.timestamp_micros((number * us if us >= 1 else F.floor(number / 1000)).cast("long"))
+        epoch = F.when(F.length(s) == digits, at).otherwise(epoch)
+    us_date = F.regexp_replace(s, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    named = F.try_to_timestamp(F.regexp_replace(s, ",", ""), F.lit("MMM d yyyy[ HH:mm[:ss]]"))
+    written = s
+    s = F.regexp_replace(us_date, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
     zoned = s.rlike(_HAS_TIME) & s.rlike(_HAS_ZONE)
     iso = F.when(zoned, s.try_cast("timestamp")).otherwise(
         F.from_utc_timestamp(s.try_cast("timestamp"), F.current_timezone())
     )
     feed = F.try_to_timestamp(F.regexp_replace(s, r"^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
-    return F.when(s.rlike(r"^\d{4}-"), iso).otherwise(F.when(s.rlike(r"^[A-Za-z]{3} "), feed))
+    out = F.when(s.rlike(r"^\d{4}-"), iso).when(written.rlike(r"^\d+$"), epoch)
+    out = out.when(s.rlike(r"^[A-Za-z]{3} \d{1,2},? \d{4}"), F.from_utc_timestamp(named, F.current_timezone()))
+    return out.when(s.rlike(r"^[A-Za-z]{3} "), feed)
 
 
 def _truth(c: Column, words: tuple[str, ...]) -> Column:

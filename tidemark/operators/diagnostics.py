@@ -239,7 +239,8 @@ def cluster_occlusion(
 
 # ---- paired signed-rank test -------------------------------------------------------------------
 
-EXACT_LIMIT = 25
+#: Untied pairs up to which the required statistics library takes the exact distribution.
+EXACT_LIMIT = 50
 
 
 def _exact_p(n: int, w: float) -> float:
@@ -261,11 +262,12 @@ def _normal_p(n: int, w: float, ties: float) -> float:
     return float(min(1.0, erfc(abs(w - mean) / sqrt(2.0 * var))))
 
 
-def wilcoxon_signed_rank(pairs: DataFrame, a: str, b: str, by: Sequence[str] = (), with_p: bool = True) -> DataFrame:
-    """(by..., n, w_plus, w_minus, W, p): zero differences dropped, tied ranks averaged, two-sided.
+def wilcoxon_signed_rank(pairs: DataFrame, a: str, b: str, by: Sequence[str] = (), with_p: bool = True, exact_limit: int = EXACT_LIMIT) -> DataFrame:
+    """(by..., n, w_plus, w_minus, W, p, p_method): zero differences dropped, tied ranks averaged, two-sided.
 
     W and p are null when no pair differs. Pairs are first counted by absolute difference, so the
-    ranking runs over distinct values. p is exact up to 25 untied pairs, normal otherwise.
+    ranking runs over distinct values. p is exact up to `exact_limit` untied pairs, normal
+    otherwise, as p_method says.
     """
     by = list(by)
     keys = by or ["_all"]
@@ -293,10 +295,12 @@ def wilcoxon_signed_rank(pairs: DataFrame, a: str, b: str, by: Sequence[str] = (
             def one(n_, w_, t_):
                 if n_ == 0 or pd.isna(w_):
                     return None
-                exact = n_ <= EXACT_LIMIT and t_ == 0
+                exact = n_ <= exact_limit and t_ == 0
                 return _exact_p(int(n_), float(w_)) if exact else _normal_p(int(n_), float(w_), float(t_))
 
             return pd.Series([one(*x) for x in zip(n, w, ties)], dtype="float64")
 
-        out = out.withColumn("p", p_value("n", "W", "ties"))
+        exact = (F.col("n") <= exact_limit) & (F.col("ties") == 0)
+        method = F.when(some, F.when(exact, F.lit("exact")).otherwise(F.lit("normal")))
+        out = out.withColumn("p", p_value("n", "W", "ties")).withColumn("p_method", method)
     return out.drop("ties", *([] if by else ["_all"]))

@@ -17,6 +17,8 @@ from tidemark.operators.ranking import newest_per_key, safe_keys
 TIMELINE_MAX = 3200
 QUOTA = 25_000
 PAGE = 100
+#: Buckets that a user's posts without a time are ranked in, before all others.
+UNTIMED_BUCKETS = 1024
 
 
 def found_users(roster: DataFrame) -> DataFrame:
@@ -49,7 +51,8 @@ def type1_history(
 
     Users who never trigger, and by `equivalent_point_for` any others (say, the reliable class),
     are cut at their first post plus the median first-post-to-trigger span of the triggering users;
-    with `fallback=None` they are dropped. The cut is one map-side-combined aggregate joined back,
+    with `fallback=None` they are dropped. If no user triggers there is no such point, and all
+    originals with a time stay. The cut is one map-side-combined aggregate joined back,
     so no user's history is gathered in one task.
     """
     if fallback not in (None, "median_span"):
@@ -71,6 +74,9 @@ def type1_history(
         spans.unpersist()
         cuts = cuts.select("_u", F.coalesce(own, F.col("_first") + F.lit(span)).alias("_cut"))
     kept = posts.filter(_is_original(posts))
+    if fallback is not None and span is None:
+        # Whoever triggers is moved, or nobody does: there is no point to cut at.
+        return kept.filter(us.isNotNull())
     return kept.join(cuts, F.col(user).eqNullSafe(F.col("_u")), "inner").filter(us < F.col("_cut")).drop("_u", "_cut")
 
 
@@ -140,7 +146,9 @@ def ordered_parts(
     The rank of a post is the count of the user's earlier hours plus its rank inside its hour, so
     a user with a third of all posts is ranked by many tasks. Every post gets a part.
     """
-    bucket = F.coalesce(F.floor(F.unix_micros(ts) / F.lit(bucket_seconds * 1_000_000)), F.lit(-(2**62)))
+    # Posts without a time have no order to keep but a stable one, so hashes of their tie-break split them.
+    untimed = F.pmod(F.xxhash64(*tiebreak), F.lit(UNTIMED_BUCKETS)) - 2**62 if tiebreak else F.lit(-(2**62))
+    bucket = F.coalesce(F.floor(F.unix_micros(ts) / F.lit(bucket_seconds * 1_000_000)), untimed)
     t, who = safe_keys(posts.withColumn("_b", bucket), [user], "_u")
     hour = [*who, "_b"]
     sizes = t.groupBy(*hour).agg(F.count(F.lit(1)).alias("_c"))

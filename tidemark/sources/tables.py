@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from tidemark.operators.columns import USER_COLUMNS, require_columns, union_all
 
 
-def _read(spark: SparkSession, paths: Sequence[str], fmt: str, schema: T.StructType | str | None) -> DataFrame:
+def _read(spark: SparkSession, paths: Sequence[str], fmt: str, schema: T.StructType | str | None, multi_line: bool = True) -> DataFrame:
     reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
         reader = reader.schema(schema).option("enforceSchema", False) if schema else reader.option("inferSchema", True)
     elif schema is not None:
         reader = reader.schema(schema)
@@ -28,11 +28,13 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
-def read_posts(spark: SparkSession, paths: str | Iterable[str], schema: T.StructType | str | None = None, fmt: str | None = None) -> DataFrame:
+def read_posts(spark: SparkSession, paths: str | Iterable[str], schema: T.StructType | str | None = None, fmt: str | None = None, multi_line: bool = True, merge_schema: bool = True) -> DataFrame:
     """Post tables unioned by column name; a column missing in one source is null there.
 
     `paths` is one path or glob, or several; several sources with one declared schema become a
-    single scan. Format follows the suffix unless given.
+    single scan. Format follows the suffix unless given. CSV texts may hold line feeds, which makes
+    each file one task; `multi_line=False` splits files whose texts don't. Without a schema the columns of
+    Parquet sources are merged from all footers; `merge_schema=False` spares that where all files agree.
     """
     paths = [paths] if isinstance(paths, str) else sorted(paths)
     if not paths:
@@ -43,11 +45,11 @@ def read_posts(spark: SparkSession, paths: str | Iterable[str], schema: T.Struct
     parts = []
     for kind, ps in sorted(kinds.items()):
         if schema is not None:
-            parts.append(_read(spark, ps, kind, schema))
+            parts.append(_read(spark, ps, kind, schema, multi_line))
         elif kind == "csv":
-            parts += [_read(spark, [p], kind, None) for p in ps]
+            parts += [_read(spark, [p], kind, None, multi_line) for p in ps]
         elif kind == "parquet":
-            parts.append(spark.read.option("mergeSchema", True).parquet(*ps))
+            parts.append(spark.read.option("mergeSchema", merge_schema).parquet(*ps))
         else:
             parts.append(_read(spark, ps, kind, None))
     return nan_to_null(union_all(*parts))
