@@ -11,7 +11,7 @@ from tidemark.operators import profiles as P
 from tidemark.operators import timeline as TL
 from tidemark.plans import views as V
 
-N = 50
+N = 100
 RAW_SQL = """
 raw AS (
   SELECT user_id, event_id AS id, ts, epoch_us(ts) AS us,

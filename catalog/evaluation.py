@@ -18,7 +18,7 @@ from tidemark.operators.ranking import top_features as top_features_of
 from tidemark.operators.sequences import MAX_VOCAB
 from tidemark.plans import views as V
 
-REPEATS = 4
+REPEATS = 20
 KS = (0, 300, 500, 800)
 
 

@@ -77,7 +77,7 @@ def tfidf_unigram(spark, sf):
 
 
 def tfidf_bigram(spark, sf):
-    return _tfidf(spark, sf, 2, 3, 5000)
+    return _tfidf(spark, sf, 2, 3, TF.MAX_FEATURES)
 
 
 def topic_features(spark, sf):
@@ -257,7 +257,7 @@ SQL = {
     "ngrams_1_4_stats": f"""WITH {DOCS_SQL}, {LONG_SQL}, t AS ({_grams(4)})
         SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 2""",
     "tfidf_unigram": _tfidf_sql(1, 5, TF.MAX_FEATURES),
-    "tfidf_bigram": _tfidf_sql(2, 3, 5000),
+    "tfidf_bigram": _tfidf_sql(2, 3, TF.MAX_FEATURES),
     "topic_features": f"WITH {DOCS_SQL}, {VOCAB_SQL}, {ALL_CMAP_SQL}, {TOPIC_SQL} SELECT doc_id, cluster, n, round(share, 6) AS share FROM topics",
     "top_topics": f"""WITH {DOCS_SQL}, {VOCAB_SQL}, {ALL_CMAP_SQL}, {TOPIC_SQL}
         SELECT cluster, round(sum(share), 6) AS share FROM topics GROUP BY cluster ORDER BY sum(share) DESC, cluster LIMIT 10""",
