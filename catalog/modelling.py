@@ -18,7 +18,7 @@ from tidemark.plans import families as FA
 from tidemark.plans import models as MO
 from tidemark.plans import views as V
 
-LR = MO.ModelSpec("lr", {"penalty": "l2", "C": 10.0, "max_iter": 20})
+LR = MO.ModelSpec("lr", {"penalty": "l2", "C": 10.0})
 SVM = MO.ModelSpec("rbf_svm", {"C": 10.0, "n_components": 64, "max_iter": 10})
 GBT = MO.ModelSpec("gbt", {"max_depth": 3, "trees": 5})
 MLP = MO.ModelSpec("mlp", {"max_iter": 15})
@@ -30,7 +30,7 @@ TEST_FOLD = 1
 def _setup(spark, sf, text=True, vectors=False, **over):
     lex = FA.Lexicon.load(V.cluster_map(spark, sf), V.N_CLUSTERS) if text else None
     wv = FA.WordVectors(*EM.vector_matrix(V.word_vectors(spark, sf), V.DIM, MAX_VOCAB)) if vectors else None
-    return FA.Setup(USERS, MESSAGE, lex, wv, key="doc_id", max_features=2000, **over)
+    return FA.Setup(USERS, MESSAGE, lex, wv, key="doc_id", **over)
 
 
 def _data(spark, sf, setup):
@@ -111,7 +111,7 @@ def permutation_importance_fitted(spark, sf):
     train, test = FA.split_fold(df, TEST_FOLD)
     ready = blocks.transform(FA.scaled_users(test, setup, train)).select("doc_id", "fold", "y_true", "embedding", *USERS)
     scorer = FA.user_scorer(clf, USERS, extra=["embedding"])
-    return D.permutation_importance(scorer, ready, USERS, ["doc_id"], repeats=3)
+    return D.permutation_importance(scorer, ready, USERS, ["doc_id"], repeats=20)
 
 
 QUERIES = {
