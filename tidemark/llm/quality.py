@@ -114,11 +114,12 @@ def held_out(key: str, folds: int, fold: int) -> Column:
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` and a column _f_<name> for each feature.
 
-    Plain columns, not a struct: fields of a struct would be inlined into every rule, and each use would
-    count through the text again.
+    The statistics leave a generator of one row: neither a rule nor a filter on the score can be rewritten
+    to hold them, so a text is counted through once, whatever is done with the score.
     """
-    counted = docs.withColumns({"_s_" + n: c for n, c in statistics(text).items()})
-    return counted.withColumns({"_f_" + n: c for n, c in features().items()}).drop(*["_s_" + n for n in statistics(text)])
+    names = list(statistics(text))
+    counted = docs.select("*", F.inline_outer(F.array(F.struct(*[c.alias("_s_" + n) for n, c in statistics(text).items()]))))
+    return counted.withColumns({"_f_" + n: c for n, c in features().items()}).drop(*["_s_" + n for n in names])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, max_rows: int = MAX_TRAIN_ROWS) -> Model:
