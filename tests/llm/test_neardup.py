@@ -101,6 +101,29 @@ def test_classes_equal_brute_force(spark):
     assert grouped(neardup.near_duplicates(docs, block=25).collect()) == want
 
 
+def repeated(seed, n=25):
+    """Texts that share their shingle sets up to a few, while passages come up to 60 times."""
+    rnd, texts = random.Random(seed), []
+    fresh = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    for _ in range(n):
+        head, one, two = fresh(150), fresh(12), fresh(12)
+        texts += [head + one + two, head + one * 40 + two, head + one + two * 60]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_texts_with_unevenly_repeated_passages_equal_brute_force(spark):
+    rows = repeated(5)
+    sets = [weighted(t) for _, t in rows[:3]]
+    assert by_hand(sets[0], sets[1])[0] < 0.5 and by_hand(sets[1], sets[2])[0] < 0.5
+    want = classes_by_hand(rows)
+    assert len(want) == 25
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grouped(neardup.near_duplicates(docs).collect()) == want
+    rows = [*rows, *((1000 + i, t) for i, t in corpus(6, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grouped(neardup.near_duplicates(docs, block=9).collect()) == classes_by_hand(rows)
+
+
 def test_edge_rows(spark):
     docs = edge_rows.documents(spark)
     out = neardup.near_duplicates(docs).collect()

@@ -3,7 +3,9 @@
 Texts are weighted sets of shingles (five words, weighted by how often they come). Every shingle is a Poisson
 process with its weight as rate; its arrivals fall on random slots, each slot keeps the first arrival, and a
 shingle stops once it is later than all slots. Two texts agree in a slot with the probability Jaccard
-similarity of their weights. Texts that agree in all slots of a band share a bucket.
+similarity of their weights; with all weights 1, with the Jaccard of their sets. A text in which a shingle
+repeats has both sketches, for any other they are the same one. Texts that agree in all slots of a band share
+a bucket, and candidates agree in enough slots of either sketch.
 
 Neither all pairs of a bucket are written, nor is a bucket cut off. First every text proposes its nearest
 partner of each of its buckets, judged by the slots; proposals are verified on the shingles and tie most classes
@@ -106,21 +108,33 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1.0 / (above / x[both] + below / y[both])).sum()), float(both.mean())
 
 
+def _low(sig: np.ndarray) -> np.ndarray:
+    return (sig & _U(0xFFFF)).astype("<u2")
+
+
 def _text_key(text: str):
     return F.unhex(F.md5(text_or_empty(text)))
 
 
 def _sketches(docs: DataFrame, text: str) -> DataFrame:
+    """(h, bands, sig): BANDS keys of the weighted sketch, BANDS of the set sketch (null where they are the same), slots of both."""
+
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             doc, s, w = shingles(texts)
             sig = signatures(len(texts), doc, s, w)
             some = np.isin(np.arange(len(texts)), doc)
+            repeats = np.unique(doc[w > 1])
+            part = np.isin(doc, repeats)
+            plain = signatures(len(repeats), np.searchsorted(repeats, doc[part]), s[part], np.ones(int(part.sum())))
             # A text without words has no bands and no partner but its exact copies.
-            bands = [b if ok else [] for b, ok in zip(band_keys(sig), some)]
-            low = (sig & _U(0xFFFF)).astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array([x.tobytes() for x in low], pa.binary())], ["h", "bands", "sig"])
+            bands = [b.tolist() if ok else [] for b, ok in zip(band_keys(sig), some)]
+            low = [x.tobytes() for x in _low(sig)]
+            for k, own, slots in zip(repeats, band_keys(plain), _low(plain)):
+                bands[k] += [None if a == b else b for a, b in zip(bands[k], own.tolist())]
+                low[k] += slots.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["h", "bands", "sig"])
 
     return docs.select(_text_key(text).alias("h"), text_or_empty(text).alias("t")).mapInArrow(sketched, "h binary, bands array<long>, sig binary")
 
@@ -139,13 +153,21 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[li
         yield cell, [list(c) for c in zip(*held)]
 
 
-def _near(sig: list[bytes], cls: np.ndarray, block: np.ndarray, square: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, partners, slots they share, slots of all) for every row with candidates of other classes."""
-    rows = np.frombuffer(b"".join(sig), "<u2").reshape(len(sig), SLOTS)
+def _near(sig: list[bytes], cls: np.ndarray, block: np.ndarray, square: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(row, partners, slots they share, slots of all by sketch) for every row with candidates of other classes.
+
+    The share is the larger of that of the weighted and that of the set sketches; without repeats there is one.
+    """
+    size = 2 * SLOTS
+    rows = [np.frombuffer(b"".join(x[:size] for x in sig), "<u2").reshape(len(sig), SLOTS)]
+    if any(len(x) > size for x in sig):
+        rows.append(np.frombuffer(b"".join(x[-size:] for x in sig), "<u2").reshape(len(sig), SLOTS))
     least = int(np.ceil(LEAST_SHARE * SLOTS))
-    for a in range(0, len(rows), 32):
-        part = slice(a, min(a + 32, len(rows)))
-        same = (rows[part, None, :] == rows[None]).sum(axis=2, dtype=np.int16)
+    for a in range(0, len(sig), 32):
+        part = slice(a, min(a + 32, len(sig)))
+        same = (rows[0][part, None, :] == rows[0][None]).sum(axis=2, dtype=np.int16)
+        for r in rows[1:]:
+            same = np.maximum(same, (r[part, None, :] == r[None]).sum(axis=2, dtype=np.int16))
         same[cls[part, None] == cls[None]] = -1
         if not square:
             same[block[part, None] == block[None]] = -1
@@ -210,9 +232,9 @@ def _links(cells: DataFrame, least: float) -> DataFrame:
             sets, out = [_unpacked(x) for x in blobs], []
             for a, near, _, rows in _near(sig, own, np.array(block), i == j):
                 near = near[near > a]
-                # Pairs that agree in an earlier band are looked at there.
-                agree = (rows[near].reshape(-1, BANDS, ROWS) == rows[a].reshape(BANDS, ROWS)).all(axis=2).argmax(axis=1)
-                near = near[agree == band]
+                # Pairs that agree in an earlier band are looked at there. Any two sketches may have met in a bucket.
+                met = [(x[near].reshape(-1, BANDS, ROWS) == y[a].reshape(BANDS, ROWS)).all(axis=2) for x in rows for y in rows]
+                near = near[np.logical_or.reduce(met).argmax(axis=1) == band]
                 near = np.array([b for b in near if find(own[b]) != find(own[a])], dtype=np.int64)
                 if not len(near):
                     continue
@@ -291,7 +313,8 @@ def _cells(rows: DataFrame, block: int) -> DataFrame:
 def _text_classes(docs: DataFrame, text: str, least: float, block: int) -> DataFrame:
     """(h, c) of the distinct texts that have a near duplicate."""
     sketches = checkpointed(_sketches(docs, text).dropDuplicates(["h"]))
-    rows = sketches.select("h", F.posexplode("bands").alias("band", "key"))
+    rows = sketches.select("h", F.posexplode("bands").alias("band", "key")).filter("key is not null")
+    rows = rows.withColumn("band", F.col("band") % BANDS)
     shared = rows.groupBy("key", "band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = checkpointed(rows.join(shared, ["key", "band"]))
     wanted = checkpointed(members.select("h").distinct())
