@@ -81,6 +81,21 @@ def test_score_equals_the_model_by_hand_when_the_filter_is_roomy(spark):
         assert math.isclose(out[i], want, rel_tol=1e-9)
 
 
+def test_a_filter_beyond_the_bound_scores_as_a_broadcast_one(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.3, 60) % 5000) for _ in range(300)]
+    docs = edge_rows.documents(spark, texts)
+    train = lm.F.coalesce(docs.doc_id % 3 != 0, lm.F.lit(True))
+    fields = ("doc_id", "size", *FIELDS, "base_score", "score")
+    rows = lambda **more: sorted((tuple(r[f] for f in fields) for r in lm.score(docs, train, keep=("doc_id", "size"), segments=16, **more).collect()), key=str)
+    want = rows()
+    assert rows(max_filter_bytes=1024, chunk_tokens=2000) == want
+    bits = lambda tokens: math.prod(lm.filter_shape(tokens, lm.SEGMENTS, lm.MAX_FILTER_BYTES)[:2])
+    for tokens in (10**6, 4 * 10**8, 5 * 10**8, 4 * 10**9, 10**12):
+        assert bits(tokens) >= lm.BITS_PER_TOKEN * tokens
+        assert lm.filter_shape(tokens, lm.SEGMENTS, lm.MAX_FILTER_BYTES)[1] <= 8 * lm.SEGMENT_BYTES
+
+
 def test_query_equals_plain_counts(spark):
     sf = "/root/testdata/sf0.01"
     texts = [(r.text, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

@@ -3,9 +3,10 @@
 Counts of words and word pairs are taken from all training texts, quantised to levels
 1 + floor(log(count) / log(BASE)), and put into a Bloom filter under every level up to their own. A query
 probes level after level until one is missing; the last hit is the quantised count. The filter is cut into
-segments by key, each built by one group from the counts that fall into it, and is broadcast; its size is
-BITS_PER_TOKEN times the training tokens and at most `max_filter_bytes`, the proven bound. Beyond that bound
-counts are still all entered, at a higher rate of false hits.
+segments by key, each built by one group from the counts that fall into it; its size is BITS_PER_TOKEN times
+the training tokens at every size of the corpus. A filter of at most `max_filter_bytes` is broadcast. A larger
+one stays distributed, in more segments: texts are dealt into chunks of bounded size, the distinct keys of a
+chunk go to their segments, and the counts come back to the chunk.
 
 Pair probabilities are smoothed with a Dirichlet prior on the word probabilities:
 (c(u v) + MU * p(v)) / (c(u) + MU), p(v) = (c(v) + 1) / (N + V + 1).
@@ -23,19 +24,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, small_batches, text_or_empty
+from tidemark.llm.common import checkpointed, small_batches, text_or_empty, worker_cache
 
 BASE, MU = 1.5, 2000.0
 HASHES, BITS_PER_TOKEN, MAX_FILTER_BYTES, SEGMENTS = 4, 5, 256 << 20, 1024
+#: A distributed filter has segments of at most so many bytes.
+SEGMENT_BYTES = 256 << 10
 #: Size of the table of frequent words that every worker holds.
 FREQUENT = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end of a text as a word: white space, so no word of a text equals it.
 END = b"\n"
-FLUSH, PAIR_TOKENS = 300_000, 2_000_000
+FLUSH, PAIR_TOKENS, CHUNK_TOKENS = 300_000, 2_000_000, 500_000
 _U = np.uint64
 
 
@@ -150,7 +154,11 @@ def probed(filter_: np.ndarray, keys: np.ndarray, segments: int, seg_bits: int)
     shift = _U(64 - int(math.log2(segments)))
     base = (keys >> shift).astype(np.int64) * (seg_bits // 8) if segments > 1 else np.zeros(len(keys), np.int64)
     low = (keys << (_U(64) - shift)) >> _U(24) if segments > 1 else keys >> _U(24)
-    found, alive, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    return _probed(filter_, base, low, seg_bits)
+
+
+def _probed(filter_: np.ndarray, base: np.ndarray, low: np.ndarray, seg_bits: int) -> np.ndarray:
+    found, alive, j = np.zeros(len(low), np.int64), np.arange(len(low)), 1
     while len(alive) and j < 119:
         for i in range(HASHES):
             at = _bits(low[alive], j, i, seg_bits)
@@ -195,9 +203,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys, n if counts is None else np.bincount(inverse, counts).astype(np.int64)
 
 
-def bloom_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, text: str, segments: int, max_bytes: int) -> tuple[np.ndarray, int]:
-    """The filter over single words and pairs of all training texts, and the bits of one segment."""
-    seg_bits = 8 * max(64, math.ceil(min(max_bytes * 8, BITS_PER_TOKEN * max(tokens, 1)) / segments / 8))
+def filter_shape(tokens: int, segments: int, max_bytes: int, segment_bytes: int = SEGMENT_BYTES) -> tuple[int, int, bool]:
+    """Segments, bits of one, and whether the filter is small enough for a broadcast."""
+    shape = lambda n: 8 * max(64, math.ceil(BITS_PER_TOKEN * max(tokens, 1) / n / 8))
+    if segments * shape(segments) // 8 <= max_bytes:
+        return segments, shape(segments), True
+    while shape(segments) > 8 * max(64, segment_bytes):
+        segments *= 2
+    return segments, shape(segments), False
+
+
+def bloom_filter(train: DataFrame, vocabulary: DataFrame, text: str, segments: int, seg_bits: int) -> DataFrame:
+    """(seg, bits): the filter over single words and pairs of all training texts, `seg_bits` bits a segment."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -227,12 +244,84 @@ def bloom_filter(train: DataFrame, vocabulary: DataFrame, tokens: int, text: str
     start = vocabulary.filter(F.col("token") == F.lit(END)).select(F.lit(b"\t").alias("token"), "c")
     rows = train.select(text_or_empty(text).alias("t")).mapInArrow(pairs, schema)
     rows = rows.unionByName(vocabulary.select("token", "c").unionByName(start).mapInArrow(singles, schema))
+    return rows.groupBy("seg").applyInPandas(built, "seg int, bits binary")
+
+
+def _gathered(filter_: DataFrame, segments: int, seg_bits: int) -> np.ndarray:
+    """The whole filter; it passes through the driver on its way to the broadcast, as Arrow buffers."""
     whole = np.zeros((segments, seg_bits // 8), np.uint8)
-    # The filter passes through the driver on its way to the broadcast: at most `max_bytes`, as Arrow buffers.
-    for batch in rows.groupBy("seg").applyInPandas(built, "seg int, bits binary").toArrow().to_batches():
+    for batch in filter_.toArrow().to_batches():
         for seg, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
             whole[seg] = np.frombuffer(bits.as_buffer(), np.uint8)
-    return whole.reshape(-1), seg_bits
+    return whole.reshape(-1)
+
+
+def _keys_of(texts: list[str]) -> np.ndarray:
+    """The distinct keys that the score of texts looks up."""
+    words = [words_of(t) for t in texts]
+    left, right = pair_sequence(word_hashes([w for ws in words for w in ws]), [len(ws) for ws in words])
+    return np.unique(np.concatenate([single_keys(np.unique(np.concatenate([left, right]))), pair_keys(left, right)]))
+
+
+def _chunked(rows: DataFrame, chunk_tokens: int) -> DataFrame:
+    """`rows` (_row, _t) with `_chunk`: neighbours of some `chunk_tokens` words, or one longer text."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            names = []
+            for t in batch.column(1).to_pylist():
+                n = len(words_of(t)) + 1
+                if held and held + n > chunk_tokens:
+                    chunk, held = chunk + 1, 0
+                held += n
+                names.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.int64())], ["_row", "_t", "_chunk"])
+
+    kind = rows.schema["_row"].dataType.simpleString()
+    return checkpointed(rows.mapInArrow(dealt, f"_row {kind}, _t string, _chunk long"))
+
+
+def _answers(chunks: DataFrame, filter_: DataFrame, segments: int, seg_bits: int) -> DataFrame:
+    """(_chunk, keys, counts): what a distributed filter holds for the keys of every chunk."""
+    shift = _U(64 - int(math.log2(segments)))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, texts = None, []
+
+        def out():
+            keys = _keys_of(texts)
+            seg = (keys >> shift).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
+            names = np.unique(seg)
+            cuts = np.append(np.searchsorted(seg, names), len(keys))
+            blobs = [keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            columns = [pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(blobs, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["seg", "_chunk", "keys"])
+
+        for batch in batches:
+            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if c != chunk and texts:
+                    yield out()
+                    texts.clear()
+                chunk = c
+                texts.append(t)
+        if texts:
+            yield out()
+
+    def answered(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks):
+            return pd.DataFrame([], columns=["_chunk", "keys", "counts"])
+        # A segment without counts has no row.
+        bits = np.frombuffer(own["bits"].iloc[0], np.uint8) if len(own) else np.zeros(seg_bits // 8, np.uint8)
+        counts = []
+        for blob in asks["keys"]:
+            keys = np.frombuffer(blob, "<u8")
+            low = (keys << (_U(64) - shift)) >> _U(24) if segments > 1 else keys >> _U(24)
+            counts.append(_probed(bits, np.zeros(len(keys), np.int64), low, seg_bits).astype("<f8").tobytes())
+        return pd.DataFrame({"_chunk": asks["_chunk"], "keys": asks["keys"], "counts": counts})
+
+    asks = chunks.select("_t", "_chunk").mapInArrow(asked, "seg int, _chunk long, keys binary")
+    return asks.groupBy("seg").cogroup(filter_.groupBy("seg")).applyInPandas(answered, "_chunk long, keys binary, counts binary")
 
 
 def score(
@@ -243,6 +332,7 @@ def score(
     segments: int = SEGMENTS,
     max_filter_bytes: int = MAX_FILTER_BYTES,
     frequent: int = FREQUENT,
+    chunk_tokens: int = CHUNK_TOKENS,
 ) -> DataFrame:
     """One row per document: `keep` columns, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -255,52 +345,70 @@ def score(
     train = docs.filter(train_rows)
     vocabulary = checkpointed(word_counts(train, text))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    filter_, seg_bits = bloom_filter(train, vocabulary, total, text, segments, max_filter_bytes)
-    bloom = spark.sparkContext.broadcast(filter_)
+    segments, seg_bits, small = filter_shape(total, segments, max_filter_bytes)
+    filter_ = bloom_filter(train, vocabulary, text, segments, seg_bits)
+    bloom = spark.sparkContext.broadcast(_gathered(filter_, segments, seg_bits)) if small else None
     top = vocabulary.orderBy(F.desc("c"), "token").limit(frequent).toArrow()
     table = spark.sparkContext.broadcast((top.column("token").to_pylist(), np.array(top.column("c"), dtype=np.int64)))
     del top
     norm = math.log10(total + distinct + 1)
 
+    def tabled() -> dict:
+        return dict(zip(table.value[0], np.log10(table.value[1] + 1.0).tolist()))
+
+    def of_rows(ids, texts: list[str], logs: dict, counts) -> pa.RecordBatch:
+        words = [words_of(t) for t in texts]
+        base, sure, rare, times = [], [], [], []
+        for ws in words:
+            values = list(map(logs.get, ws))
+            values.append(logs.get(END))
+            unknown = Counter(w for w, v in zip(ws, values) if v is None) if None in values else {}
+            good = [v for v in values if v is not None]
+            if values[-1] is None:
+                unknown = Counter(unknown)
+                unknown[END] += 1
+            base.append(math.fsum(good))
+            sure.append(len(good))
+            rare.append(list(unknown))
+            times.append(list(unknown.values()))
+        lengths = [len(ws) for ws in words]
+        left, right = pair_sequence(word_hashes([w for ws in words for w in ws]), lengths)
+        unique, back = np.unique(np.concatenate([left, right]), return_inverse=True)
+        single = counts(single_keys(unique))[back]
+        before, own = single[: len(left)], single[len(left) :]
+        pair = counts(pair_keys(left, right))
+        p = (pair + MU * (own + 1.0) / (total + distinct + 1.0)) / (np.maximum(before, pair) + MU)
+        starts = np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
+        sums = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts) if len(p) else np.empty(0)
+        return pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array(np.array(lengths, np.int64) + 1),
+                pa.array(sure, pa.int64()),
+                pa.array(base, pa.float64()),
+                pa.array(sums, pa.float64()),
+                pa.array(rare, pa.list_(pa.binary())),
+                pa.array(times, pa.list_(pa.int64())),
+            ],
+            ["_row", "n_tokens", "_sure", "_base", "score", "_rare", "_times"],
+        )
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = dict(zip(table.value[0], np.log10(table.value[1] + 1.0).tolist()))
-        bits = bloom.value
+        logs, bits = tabled(), bloom.value
         for batch in batches:
-            words = [words_of(t) for t in batch.column(1).to_pylist()]
-            base, sure, rare, times = [], [], [], []
-            for ws in words:
-                values = list(map(logs.get, ws))
-                values.append(logs.get(END))
-                unknown = Counter(w for w, v in zip(ws, values) if v is None) if None in values else {}
-                good = [v for v in values if v is not None]
-                if values[-1] is None:
-                    unknown = Counter(unknown)
-                    unknown[END] += 1
-                base.append(math.fsum(good))
-                sure.append(len(good))
-                rare.append(list(unknown))
-                times.append(list(unknown.values()))
-            lengths = [len(ws) for ws in words]
-            left, right = pair_sequence(word_hashes([w for ws in words for w in ws]), lengths)
-            unique, back = np.unique(np.concatenate([left, right]), return_inverse=True)
-            single = probed(bits, single_keys(unique), segments, seg_bits)[back]
-            before, own = single[: len(left)], single[len(left) :]
-            pair = probed(bits, pair_keys(left, right), segments, seg_bits)
-            p = (pair + MU * (own + 1.0) / (total + distinct + 1.0)) / (np.maximum(before, pair) + MU)
-            starts = np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
-            sums = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts) if len(p) else np.empty(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(np.array(lengths, np.int64) + 1),
-                    pa.array(sure, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(sums, pa.float64()),
-                    pa.array(rare, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int64())),
-                ],
-                ["_row", "n_tokens", "_sure", "_base", "score", "_rare", "_times"],
-            )
+            yield of_rows(batch.column(0), batch.column(1).to_pylist(), logs, lambda keys: probed(bits, keys, segments, seg_bits))
+
+    def scored_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        cache = worker_cache()
+        if cache.get("lm_table") is not table.value:
+            cache["lm_table"], cache["lm_logs"] = table.value, tabled()
+        keys = np.frombuffer(b"".join(answers.column("keys").to_pylist()), "<u8")
+        found = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<f8")
+        order = np.argsort(keys, kind="stable")
+        keys, found = keys[order], found[order]
+        ids = rows.column("_row").combine_chunks()
+        out = of_rows(ids, rows.column("_t").to_pylist(), cache["lm_logs"], lambda wanted: found[np.searchsorted(keys, wanted)])
+        return pa.Table.from_batches([out])
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
@@ -308,7 +416,13 @@ def score(
     packed_row = F.struct(F.col("_row"), *kept).alias("_row")
     kind = numbered.select(packed_row).schema["_row"].dataType.simpleString()
     schema = f"_row {kind}, n_tokens long, _sure long, _base double, score double, _rare array<binary>, _times array<long>"
-    rows = checkpointed(numbered.select(packed_row, text_or_empty(text).alias("_t")).mapInArrow(scored, schema))
+    texts = numbered.select(packed_row, text_or_empty(text).alias("_t"))
+    if small:
+        rows = checkpointed(texts.mapInArrow(scored, schema))
+    else:
+        chunks = _chunked(texts, chunk_tokens)
+        answers = _answers(chunks, filter_, segments, seg_bits)
+        rows = checkpointed(chunks.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(scored_chunk, schema))
     rare = rows.select(F.col("_row._row").alias("_id"), F.explode(F.arrays_zip("_rare", "_times")).alias("_z"))
     rare = rare.select("_id", F.col("_z._rare").alias("token"), F.col("_z._times").alias("_times"))
     met = rare.join(vocabulary, "token", "left").groupBy("_id").agg(
