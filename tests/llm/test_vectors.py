@@ -72,6 +72,18 @@ def test_nearest_recall_with_copies(spark):
     assert [v for v, _ in got[0]] == [3, 6, 9, 12, 15]  # ties among the copies go to smaller ids
 
 
+def test_nearest_gives_full_lists_at_one_visit(spark):
+    """Groups of copies and single vectors, many in leaves of a few rows; recall 0 calibrates to one leaf."""
+    rng = np.random.default_rng(8)
+    groups, lone = rng.normal(size=(40, 8)), rng.normal(size=(900, 8))
+    rows = [(g * 10 + c, v.tolist()) for g, v in enumerate(groups) for c in range(6)]
+    rows += [(50_000 + i, v.tolist()) for i, v in enumerate(lone)] + [(50_000, (-lone[0]).tolist())]
+    got = {}
+    for r in ann.nearest(frame(spark, rows), lambda i: (i % 10 == 0) | (i >= 50_000), recall=0.0).collect():
+        got.setdefault(r.query_id, []).append(r["rank"])
+    assert len(got) == 940 and all(len(r) == 5 * (2 if q == 50_000 else 1) for q, r in got.items())
+
+
 def test_products_on_few_rows(spark):
     assert by_query(mtree.top_products(frame(spark, FEW), every_50)) == brute(FEW, product, False)
     assert mtree.top_products(frame(spark, []), every_50).collect() == []

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first traversal.
 
 The tree is fitted on a bounded sample, every row is put into a leaf. A query walks the tree through a
-priority queue, nearest centre first, and visits as many leaves as a calibration asks for: for a bounded set
+priority queue, nearest centre first, and visits as many leaves as a calibration asks for, and more until they
+hold k rows of other ids: for a bounded set
 of queries the true neighbours are found by brute force over all rows, and visits are widened until the
 share of true neighbours in visited leaves reaches the wanted recall. Leaves and the queries that visit them
 meet by an equi-join of (leaf, block of rows, block of queries), so a leaf of any size is many small tasks.
@@ -81,13 +82,14 @@ class Tree:
                 stack += [(c, at[owner == i]) for i, c in enumerate(self.children[node])]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves of the best-bin-first walk."""
-        queue, out = [(-1.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, rows: int = 0) -> list[int]:
+        """The first `most` leaves of the best-bin-first walk, and more until they hold `rows` rows by `sizes`."""
+        queue, out, held = [(-1.0, 0)], [], 0
+        while queue and (len(out) < most or held < rows):
             _, node = heapq.heappop(queue)
             if node in self.leaf_of:
                 out.append(self.leaf_of[node])
+                held += sizes.get(out[-1], 0) if sizes else rows
             else:
                 for near, child in zip(self.centres[node] @ query, self.children[node]):
                     heapq.heappush(queue, (-float(near), child))
@@ -152,21 +154,26 @@ def nearest(df: DataFrame, is_query, key: str = "vec_id", vector: str = "embeddi
     index = checkpointed(indexed.mapInArrow(placed, "id long, leaf long, vec binary"))
     queries = rows.filter(is_query(F.col("id")))
     visits = _calibrated(index, queries, tree, k, recall, CALIBRATION)
-    # A narrow leaf list could hold fewer than k rows: small tables are searched whole.
+    # Small tables are searched whole.
     if index.limit(20 * k + 1).count() <= 20 * k:
         visits = len(tree.leaf_of)
 
+    # One number per leaf of the tree. A query leaves out all rows of its id, so it needs as many more than k.
+    held = spark.sparkContext.broadcast({r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()})
+    several = queries.groupBy("id").agg(F.count(F.lit(1)).alias("own")).filter("own > 1")
+    asking = queries.join(several, "id", "left").select("id", "v", F.coalesce("own", F.lit(1)).alias("own"))
+
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vecs, leaves = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), matrix(batch.column(1).to_pylist())):
-                seen = shared.value.visits(_unit(v[None])[0], visits)
+            for i, v, own in zip(batch.column(0).to_pylist(), matrix(batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                seen = shared.value.visits(_unit(v[None])[0], visits, held.value, k + own)
                 ids += [i] * len(seen)
                 vecs += [v.tobytes()] * len(seen)
                 leaves += seen
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vecs, pa.binary()), pa.array(leaves, pa.int64())], ["query_id", "qv", "leaf"])
 
-    visiting = checkpointed(queries.mapInArrow(walked, "query_id long, qv binary, leaf long"))
+    visiting = checkpointed(asking.mapInArrow(walked, "query_id long, qv binary, leaf long"))
     parts = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_rows"))
     asked = visiting.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_asks"))
     sizes = F.broadcast(checkpointed(parts.join(asked, "leaf")))  # one row per leaf of the tree
