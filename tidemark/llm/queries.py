@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, neardup, quality, secrets, token_counts
+from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, neardup, quality, secrets, sentence_pieces, token_counts
 from tidemark.llm.common import table
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_mixing(spark, sf):
@@ -78,6 +78,18 @@ def op10_quality(spark, sf):
     return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality}
+def op12_sentence_pieces(spark, sf):
+    path = public_tokenizers.path(PIECE_BPE)
+    ids = sentence_pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    decoded = ids.withColumn("decoded", sentence_pieces.decode(ids, path))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality, "op12_sentence_pieces": op12_sentence_pieces}
 #: None of these has a SQL form; tests/llm holds their brute-force versions.
 SQL: dict[str, str] = {}
