@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, neardup, quality, secrets, sentence_pieces, token_counts
+from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, neardup, quality, runs, secrets, sentence_pieces, token_counts
 from tidemark.llm.common import table
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -78,6 +78,33 @@ def op10_quality(spark, sf):
     return scored.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+def periodic_tail(words, doc_id="doc_id"):
+    """Where op11's contract makes the words of a tenth of the documents periodic, and the period; else null."""
+    h, n = F.crc32(F.col(doc_id).cast("string")), F.size(words)
+    g = F.floor(h / 10)
+    tail = g % n
+    period = F.floor((n - tail) / (3 + g % 8)) + 1
+    return F.when((h % 10 == 0) & (n > 0), F.struct(tail.alias("tail"), period.alias("period")))
+
+
+def op11_periodic_runs(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("words", runs.words_of()).drop("text")
+    shape = docs.withColumn("shape", periodic_tail("words"))
+    place = lambda i: (F.col("shape.tail") + (i - F.col("shape.tail")) % F.col("shape.period")).cast("int")
+    tailed = F.transform("words", lambda w, i: F.when(i < F.col("shape.tail"), w).otherwise(F.get("words", place(i))))
+    docs = shape.withColumn("words", F.when(F.col("shape").isNotNull(), tailed).otherwise(F.col("words"))).drop("shape")
+    found = runs.with_runs(docs).withColumn("top", runs.greatest_run())
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.array_join(runs.kept_words(), " "), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_sentence_pieces(spark, sf):
     path = public_tokenizers.path(PIECE_BPE)
     ids = sentence_pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
@@ -90,6 +117,6 @@ def op12_sentence_pieces(spark, sf):
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality, "op12_sentence_pieces": op12_sentence_pieces}
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_sentence_pieces": op12_sentence_pieces}
 #: None of these has a SQL form; tests/llm holds their brute-force versions.
 SQL: dict[str, str] = {}
