@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_main, lm, mixing, mtree, neardup, quality, runs, secrets, sentence_pieces, token_counts
+from tidemark.llm import ann, bpe, collocations, html_main, lm, mixing, mtree, neardup, quality, runs, secrets, sentence_pieces, token_counts
 from tidemark.llm.common import table
 
 WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -117,6 +117,50 @@ def op12_sentence_pieces(spark, sf):
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_sentence_pieces": op12_sentence_pieces}
-#: None of these has a SQL form; tests/llm holds their brute-force versions.
-SQL: dict[str, str] = {}
+def op13_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents").select("text", "lang"), top=2000, least=30)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_bpe": op2_bpe, "op3_ann": op3_ann, "op4_near_duplicates": op4_near_duplicates, "op5_lm_scores": op5_lm_scores, "op6_html": op6_html, "op7_token_counts": op7_token_counts, "op8_secrets": op8_secrets, "op9_top_products": op9_top_products, "op10_quality": op10_quality, "op11_periodic_runs": op11_periodic_runs, "op12_sentence_pieces": op12_sentence_pieces, "op13_collocations": op13_collocations}
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (
+  SELECT doc, lang, generate_subscripts(parts, 1) AS piece, unnest(parts) AS part
+  FROM (SELECT doc, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') AS parts FROM texts)),
+words AS (
+  SELECT doc, lang, piece, generate_subscripts(list, 1) AS place, unnest(list) AS w1
+  FROM (SELECT doc, lang, piece, regexp_extract_all(part, '[^\x20\x09]+') AS list FROM pieces)),
+places AS (
+  SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4
+  FROM words WINDOW p AS (PARTITION BY doc, piece ORDER BY place)),
+counts AS (
+  SELECT lang, 1 AS size, w1 AS phrase, count(*) AS f FROM places GROUP BY ALL
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM places WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM places WHERE w4 IS NOT NULL GROUP BY ALL),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS list, f AS a FROM counts WHERE size > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, size, phrase, a, k, row(lang, array_to_string(list[:k], ' ')) AS head, row(lang, array_to_string(list[k + 1:], ' ')) AS tail
+  FROM candidates, (VALUES (1), (2), (3)) AS c(k) WHERE k < size),
+keyed AS (SELECT row(lang, phrase) AS key, f FROM counts WHERE f >= 30),
+scores AS (
+  SELECT c.*, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN keyed l ON l.key = c.head JOIN keyed r ON r.key = c.tail),
+worst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scores) WHERE nth = 1),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(list[i:j], ' ') AS phrase
+  FROM candidates, (VALUES (1, 2), (2, 3), (3, 4), (1, 3), (2, 4)) AS s(i, j) WHERE j <= size AND j - i + 1 < size),
+longest AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL),
+ranked AS (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, score
+  FROM worst w LEFT JOIN longest g ON g.lang = w.lang AND g.phrase = w.phrase
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score
+FROM ranked k JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang) t ON t.lang = k.lang
+WHERE k.rank <= 2000
+"""
+#: None of the others has a SQL form; tests/llm holds their brute-force versions.
+SQL: dict[str, str] = {"op13_collocations": OP13_SQL}
