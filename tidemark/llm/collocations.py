@@ -33,8 +33,9 @@ LONGEST = 4
 PAIR_BITS, SEGMENT_BITS = 27, 16
 #: Bits of a frontier bitmap for one length, dealt out in segments of 2^15.
 FRONTIER_BITS, FRONTIER_SEGMENT = 24, 15
-#: Text looked at together, and how many candidates per reported phrase the first frontier reaches down to.
-CHUNK_BYTES, AHEAD = 8 << 20, 4
+#: Text looked at together; how many candidates per reported phrase the first frontier reaches down to, and
+#: how many times as many the next ones.
+CHUNK_BYTES, AHEAD, WIDER = 8 << 20, 4, 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 #: What each byte is: 0 part of a word, 1 blank, 2 end of a piece; and its lower case.
@@ -342,7 +343,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, text: str =
         left = _above(followed.filter("size < 4 and followed is null"), lowest)
         if left.isEmpty():
             break
-        ahead *= AHEAD
+        ahead *= WIDER
         line = checkpointed(_lowered(line, _line(known, ahead), lowest))
     best = _ranked(settled).filter(F.col("rank") <= top)
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
