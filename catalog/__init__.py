@@ -1,8 +1,8 @@
 """Registered queries over the test tables, each with its SQL counterpart where SQL can say it."""
 
-from catalog import behaviour, evaluation, folds, modelling, payloads, texts
+from catalog import behaviour, evaluation, fold_terms, folds, modelling, payloads, texts
 
-_AREAS = (behaviour, payloads, texts, folds, evaluation, modelling)
+_AREAS = (behaviour, payloads, texts, folds, fold_terms, evaluation, modelling)
 
 
 def all_queries():

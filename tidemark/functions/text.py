@@ -101,7 +101,7 @@ def long_tokens(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: F.length(w) >= 2)
 
 
-def _gram_at(tokens: Column, n: int):
+def gram_at(tokens: Column, n: int):
     # Element access is constant time; a slice would copy the whole array for every gram.
     return lambda start: F.concat_ws(" ", *[F.get(tokens, start + i) for i in range(n)])
 
@@ -111,6 +111,6 @@ def ngrams(tokens: Column, max_n: int) -> Column:
     parts = [tokens]
     for n in range(2, max_n + 1):
         starts = F.sequence(F.lit(0), F.size(tokens) - n)
-        grams = F.transform(starts, _gram_at(tokens, n))
+        grams = F.transform(starts, gram_at(tokens, n))
         parts.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts) if len(parts) > 1 else parts[0]

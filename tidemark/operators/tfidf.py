@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -46,6 +47,28 @@ def term_stats(docs: DataFrame, doc: str, terms: str = "terms", unique_docs: boo
     return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
+def fold_term_stats(docs: DataFrame, doc: str, fold: str = "fold", folds: Sequence[int] = (1, 2, 3, 4, 5), terms: str = "terms", unique_docs: bool = True) -> DataFrame:
+    """(term, fold, df, cf): for each fold the statistics of all documents outside it.
+
+    One shuffle by term counts every fold's own documents side by side; what a fold trains on is the
+    total less its own, so no fold reads the corpus again. Terms that stand in one fold only have no
+    row for it. Documents of other or null folds count for the training rows of all.
+    """
+    if unique_docs:
+        marks = F.concat(
+            F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf"))),
+            F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf"))),
+        )
+        cells = explode_rows(docs, [fold], marks, "e").select(fold, "e.*")
+    else:
+        pairs = explode_rows(docs, [doc, fold], terms, "term").groupBy(doc, "term").agg(F.first(fold).alias(fold), F.count(F.lit(1)).alias("cf"))
+        cells = pairs.withColumn("df", F.lit(1))
+    own = [F.coalesce(F.sum(F.when(F.col(fold) == f, F.col(c))), F.lit(0)).alias(f"_{c}_{f}") for f in folds for c in ("df", "cf")]
+    table = cells.groupBy("term").agg(F.sum("df").alias("_df"), F.sum("cf").alias("_cf"), *own)
+    rest = [F.struct(F.lit(f).cast("int").alias("fold"), *[(F.col(f"_{c}") - F.col(f"_{c}_{f}")).alias(c) for c in ("df", "cf")]) for f in folds]
+    return table.select("term", F.explode(F.array(*rest)).alias("r")).select("term", "r.*").filter("df > 0")
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """Vocabulary table (term, idx, df, cf, idf) plus the settings it was fitted with."""
@@ -111,3 +134,64 @@ def fit_tfidf(
         }
     )
     return TfidfModel(vocab, n, max_n, max_features)
+
+
+@dataclass(frozen=True)
+class FoldTfidf:
+    """Vocabularies (fold, term, idx, df, cf, idf), each fitted on the documents outside its fold."""
+
+    vocab: DataFrame
+    n_docs: dict[int, int]
+    max_n: int
+    max_features: int
+
+    def model(self, fold: int) -> TfidfModel:
+        own = self.vocab.filter(F.col("fold") == fold).drop("fold")
+        return TfidfModel(own, self.n_docs[fold], self.max_n, self.max_features)
+
+    def held_out(self, docs: DataFrame, doc: str, fold: str = "fold", terms: str = "terms") -> DataFrame:
+        """(fold, doc, term, idx, tf, weight): every document by the vocabulary that hasn't seen its fold.
+
+        All folds at once: unknown terms go in the join, then one count by document and term.
+        """
+        side = broadcast_if_bounded(self.vocab.select(F.col("fold").alias("_f"), "term", "idx", "idf"), len(self.n_docs) * self.max_features)
+        cells = explode_rows(docs, [doc, fold], terms, "term")
+        hits = cells.join(side, (cells["term"] == side["term"]) & (F.col(fold) == F.col("_f")), "inner").drop(side["term"])
+        tf = hits.groupBy(F.col(fold).alias("fold"), doc, "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
+        raw = tf.withColumn("_w", F.col("tf") * F.col("idf"))
+        norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(doc)))
+        return raw.select("fold", doc, "term", "idx", "tf", (F.col("_w") / norm).alias("weight"))
+
+
+def fit_tfidf_folds(
+    docs: DataFrame,
+    doc: str,
+    fold: str = "fold",
+    folds: Sequence[int] = (1, 2, 3, 4, 5),
+    max_n: int = 1,
+    min_df: int = DEFAULT_MIN_DF,
+    max_df: float = MAX_DF,
+    max_features: int = MAX_FEATURES,
+    terms: str = "terms",
+    unique_docs: bool = True,
+) -> FoldTfidf:
+    """What `fit_tfidf` gives on the documents outside each fold, from one pass over the corpus.
+
+    The driver reads one document count per fold. The windows see the best `max_features` terms of a
+    fold and no more: the rank is limited in every task before the rows move.
+    """
+    each = docs.select(doc, fold) if unique_docs else docs.select(doc, fold).distinct()
+    own = {r[fold]: r["n"] for r in each.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_docs = {f: sum(own.values()) - own.get(f, 0) for f in folds}
+    n = F.create_map(*[F.lit(x) for f in folds for x in (f, n_docs[f])])[F.col("fold")]
+    stats = fold_term_stats(docs, doc, fold, folds, terms, unique_docs)
+    best = W.partitionBy("fold").orderBy(F.desc("cf"), F.asc("term"))
+    kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)).withColumn("_r", F.row_number().over(best))
+    kept = kept.filter(F.col("_r") <= max_features).drop("_r")
+    vocab = kept.withColumns(
+        {
+            "idx": F.row_number().over(W.partitionBy("fold").orderBy("term")) - 1,
+            "idf": F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0),
+        }
+    )
+    return FoldTfidf(vocab, n_docs, max_n, max_features)

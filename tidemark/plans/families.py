@@ -16,6 +16,7 @@ from tidemark.functions.text import ENGLISH_STOPWORDS, normalize_tokens
 from tidemark.functions.vectors import project
 from tidemark.operators import lsa as LS
 from tidemark.operators import numeric as NU
+from tidemark.operators import parts as PT
 from tidemark.operators import splits as SP
 from tidemark.operators import tfidf as TF
 from tidemark.operators.columns import prefixed, union_all
@@ -71,6 +72,8 @@ class Setup:
     scale_topics: bool = True
     fill: str = "median"
     key: str = "username"
+    #: Column that numbers the text parts of one key; its other columns are the same on all parts.
+    part: str | None = None
     stopwords: tuple[str, ...] = ENGLISH_STOPWORDS
 
 
@@ -79,16 +82,44 @@ def tokenized(df: DataFrame, setup: Setup, text: str = "aggr_text") -> DataFrame
     return df.withColumn("tokens", normalize_tokens(F.col(text), setup.stopwords))
 
 
+def text_terms(df: DataFrame, setup: Setup) -> DataFrame:
+    """Add the terms of each row; those over the borders of text parts belong to the later part."""
+    return PT.with_part_terms(df, setup.max_n, setup.key, setup.part) if setup.part else TF.with_terms(df, setup.max_n)
+
+
+class FoldVocabularies:
+    """The vocabularies that leave out one fold each, from one pass per text setup over all rows."""
+
+    def __init__(self, df: DataFrame, k: int):
+        self.df, self.k, self._fitted = df, k, {}
+
+    def model(self, setup: Setup, fold: int) -> TF.TfidfModel:
+        key = (setup.max_n, setup.min_df, setup.max_features)
+        if key not in self._fitted:
+            fitted = TF.fit_tfidf_folds(
+                text_terms(self.df, setup), setup.key, "fold", range(1, self.k + 1), setup.max_n, setup.min_df, TF.MAX_DF, setup.max_features, unique_docs=not setup.part
+            )
+            self._fitted[key] = replace(fitted, vocab=keep(fitted.vocab))
+        return self._fitted[key].model(fold)
+
+    def release(self) -> None:
+        for fitted in self._fitted.values():
+            fitted.vocab.unpersist()
+        self._fitted.clear()
+
+
 class Blocks:
     """Fitted feature blocks; `transform` adds one vector column per block, row-locally."""
 
-    def __init__(self, setup: Setup, names: Sequence[str], train: DataFrame):
-        self.setup, self.names = setup, tuple(names)
+    def __init__(self, setup: Setup, names: Sequence[str], train: DataFrame, vocabulary: TF.TfidfModel | None = None):
+        self.setup, self.names, self.vocabulary = setup, tuple(names), vocabulary
+        if setup.part and (setup.svd_k or not {"users", "mnum", "bow"}.issuperset(names)):
+            raise ValueError("histories in parts have users, mnum and bow blocks")
         self.feature_names: dict[str, list[str]] = {}
         self._steps = [getattr(self, "_fit_" + n)(train) for n in self.names]
 
     def _numeric(self, train, cols, out, block):
-        prep = NU.fit_numeric(train, cols, fill=self.setup.fill, scale=self.setup.scale_numeric)
+        prep = NU.fit_numeric(self._units(train), cols, fill=self.setup.fill, scale=self.setup.scale_numeric)
         tmp = [f"_{out}_{i}" for i in range(len(cols))]
         asm = VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="error")
         self.feature_names[out] = prefixed(cols, block)
@@ -118,10 +149,17 @@ class Blocks:
         shrink = np.diag(1.0 / LS.vector_deviation(raw(train), "topics"))
         return lambda df: raw(df).withColumn("topics", project(F.col("topics"), shrink))
 
+    def _units(self, df):
+        """One row per key."""
+        return PT.one_row(df, self.setup.key, self.setup.part) if self.setup.part else df
+
     def _fit_bow(self, train):
         s = self.setup
-        terms = TF.with_terms(train, s.max_n)
-        model = TF.fit_tfidf(terms, s.key, s.max_n, s.min_df, TF.MAX_DF, s.max_features)
+        model = self.vocabulary or TF.fit_tfidf(text_terms(train, s), s.key, s.max_n, s.min_df, TF.MAX_DF, s.max_features, unique_docs=not s.part)
+        if s.part:
+            names = [r["term"] for r in model.terms_in_order()]
+            self.feature_names["bow"] = prefixed(names, "bow")
+            return lambda units, parts: PT.with_unit_vectors(units, model.long(text_terms(parts, s), s.key), len(names), s.key)
         vectorizer: PipelineModel = model.vectorizer()
         names = vectorizer.stages[0].vocabulary
 
@@ -147,9 +185,10 @@ class Blocks:
         )
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for step in self._steps:
-            df = step(df)
-        return df
+        out = self._units(df)
+        for name, step in zip(self.names, self._steps):
+            out = step(out, df) if self.setup.part and name == "bow" else step(out)
+        return out
 
     def names_of(self, blocks: Sequence[str]) -> list[str]:
         return [n for b in blocks for n in self.feature_names[b]]
@@ -185,9 +224,9 @@ def split_fold(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
 
 
-def refit_score(spec: MO.ModelSpec, setup: Setup, blocks: Sequence[str], train: DataFrame, test: DataFrame) -> tuple[MO.Classifier, Blocks, DataFrame]:
+def refit_score(spec: MO.ModelSpec, setup: Setup, blocks: Sequence[str], train: DataFrame, test: DataFrame, vocabulary: TF.TfidfModel | None = None) -> tuple[MO.Classifier, Blocks, DataFrame]:
     """Fit blocks and model on `train`, score `test`: (classifier, blocks, (key, y_true, y_pred))."""
-    fitted = Blocks(setup, blocks, train)
+    fitted = Blocks(setup, blocks, train, vocabulary)
     ready = keep(assemble_blocks(fitted.transform(train), blocks).select("y_true", "features"))
     try:
         clf = MO.fit(spec, ready)
@@ -205,6 +244,7 @@ def run_family(
     fold: int,
     dev_frac: float = 0.125,
     seed: int = SP.DEFAULT_SEED,
+    vocabularies: FoldVocabularies | None = None,
 ):
     """One fold of one family: choose text setup and model on dev, refit on train + dev, score test.
 
@@ -214,7 +254,8 @@ def run_family(
     trainval, test = split_fold(df, fold)
     best = (specs[0], setups[0], -1.0)
     if len(specs) * len(setups) > 1:
-        marked = keep(SP.stratified_holdout(trainval, "y_true", dev_frac, seed, setups[0].key))
+        part, key = setups[0].part, setups[0].key
+        marked = keep(PT.user_holdout(trainval, "y_true", dev_frac, seed, key, part) if part else SP.stratified_holdout(trainval, "y_true", dev_frac, seed, key))
         train, dev = marked.filter(~F.col("is_dev")), marked.filter("is_dev")
         for setup in setups:
             fitted = Blocks(setup, blocks, train)
@@ -227,7 +268,8 @@ def run_family(
             tr.unpersist()
             dv.unpersist()
         marked.unpersist()
-    clf, fitted, pred = refit_score(best[0], best[1], blocks, trainval, test)
+    shared = vocabularies.model(best[1], fold) if vocabularies and "bow" in blocks else None
+    clf, fitted, pred = refit_score(best[0], best[1], blocks, trainval, test, shared)
     return (*best, clf, fitted, pred)
 
 
@@ -235,16 +277,19 @@ def cross_validate(df: DataFrame, families: dict[str, Sequence[str]], specs: Seq
     """(predictions (fold, family, key, y_true, y_pred), metrics (fold, family, P, R, F1)).
 
     `df` holds `fold`, `y_true`, `tokens` and the numeric columns, and is best cached. The driver
-    only loops over folds and families; scores of all of them come from one pass at the end.
+    only loops over folds and families; scores of all of them come from one pass at the end. Refits of
+    all folds share one pass of term counts; a fold's vocabulary is what the other folds leave. With
+    `Setup.part`, `df` has one row per text part and predictions one per key.
     """
     key = setups[0].key
-    parts = []
+    parts, vocabularies = [], FoldVocabularies(df, k)
     for fold in range(1, k + 1):
         for family, blocks in families.items():
-            pred = run_family(df, blocks, specs, setups, fold, dev_frac)[-1]
+            pred = run_family(df, blocks, specs, setups, fold, dev_frac, vocabularies=vocabularies)[-1]
             parts.append(
                 pred.select(F.lit(fold).alias("fold"), F.lit(family).alias("family"), key, "y_true", "y_pred")
             )
+    vocabularies.release()
     predictions = union_all(*parts)
     return predictions, macro_scores(predictions, ["fold", "family"])
 
