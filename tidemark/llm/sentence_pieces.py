@@ -35,7 +35,7 @@ NEVER = float("inf")
 #: Up to so many characters merging looks through all neighbours, beyond that it keeps a queue.
 SHORT = 40
 #: Bounds of what a worker remembers: words and stretches (of so many characters at most), pairs of pieces.
-WORDS, REMEMBERED, REMEMBERED_CHARS, PAIRS = 200_000, 400_000, 40, 500_000
+WORDS, REMEMBERED, REMEMBERED_CHARS, PAIRS = 400_000, 600_000, 40, 500_000
 
 
 class Vocabulary:
