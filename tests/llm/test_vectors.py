@@ -84,6 +84,18 @@ def test_nearest_gives_full_lists_at_one_visit(spark):
     assert len(got) == 940 and all(len(r) == 5 * (2 if q == 50_000 else 1) for q, r in got.items())
 
 
+def test_leaves_are_neither_large_nor_tiny():
+    rng = np.random.default_rng(5)
+    for sample in (rng.normal(size=(4000, 32)), np.concatenate([rng.normal(size=(3000, 8)), np.ones((900, 8))])):
+        unit = ann._unit(sample)
+        tree = ann.Tree.fit(unit)
+        held = np.bincount(tree.leaves(unit), minlength=len(tree.leaf_of))
+        assert held.min() >= ann.LEAST_SHARE * ann.LEAF_ROWS and len(held) < 3 * len(sample) / ann.LEAF_ROWS
+        whole = tree.visits(unit[0], len(held))
+        assert sorted(whole) == list(range(len(held))) and whole[0] == tree.leaves(unit[:1])[0]
+        assert not any(isinstance(x, ann.Tree) for x in tree.state)
+
+
 def test_products_on_few_rows(spark):
     assert by_query(mtree.top_products(frame(spark, FEW), every_50)) == brute(FEW, product, False)
     assert mtree.top_products(frame(spark, []), every_50).collect() == []
