@@ -37,6 +37,8 @@ SEGMENT_BYTES = 256 << 10
 #: Size of the table of frequent words that every worker holds.
 FREQUENT = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+WORD_BYTE = np.ones(256, bool)
+WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 #: The end of a text as a word: white space, so no word of a text equals it.
 END = b"\n"
 FLUSH, PAIR_TOKENS, CHUNK_TOKENS = 300_000, 2_000_000, 500_000
@@ -61,12 +63,39 @@ _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64))
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return _hashes(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def _hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the words of `lengths` bytes that lie end to end in `data`."""
     starts = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(words), np.uint8)
     at = np.arange(len(data)) - np.repeat(starts, lengths)
     values = (data.astype(np.uint64) + _U(1) + (at >> 16).astype(np.uint64) * _U(257)) * _POWERS[at & 0xFFFF]
-    return mixed(np.add.reduceat(values, starts))
+    return mixed(np.add.reduceat(values, starts)) if len(starts) else np.empty(0, np.uint64)
+
+
+class Coded:
+    """Words of the texts of one batch, each distinct word once: `codes` point into `words`."""
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        word = WORD_BYTE[data]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+        first[heads] |= word[heads]
+        at, inside = np.flatnonzero(first), np.cumsum(word, dtype=np.int32)
+        bounds = np.append(inside[at] - 1, inside[-1] if len(inside) else 0).astype(np.int32)
+        lower = np.frombuffer(LOWER, np.uint8)[data[word]]
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(lower)])
+        coded = words.dictionary_encode()
+        self.codes, self.words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.hashes = word_hashes(self.words)
+        cuts = np.searchsorted(at, offsets)
+        self.starts, self.lengths = cuts[:-1], np.diff(cuts)
 
 
 def single_keys(h: np.ndarray) -> np.ndarray:
@@ -80,17 +109,17 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 START_HASH, END_HASH = word_hashes([b"\t"])[0], word_hashes([END])[0]
 
 
-def pair_sequence(hashes: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right hash of every pair of consecutive words, with the start before and the end after each text."""
+def pair_sequence(values: np.ndarray, lengths, start=START_HASH, end=END_HASH) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right value (the hash) of every pair of consecutive words, with `start` before and `end` after each text."""
     n = np.array(lengths, dtype=np.int64)
     ends = np.cumsum(n + 1) - 1
-    right = np.empty(len(hashes) + len(n), np.uint64)
+    right = np.empty(len(values) + len(n), values.dtype)
     is_end = np.zeros(len(right), bool)
     is_end[ends] = True
-    right[is_end], right[~is_end] = END_HASH, hashes
+    right[is_end], right[~is_end] = end, values
     left = np.empty_like(right)
     left[1:] = right[:-1]
-    left[np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)] = START_HASH
+    left[np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)] = start
     return left, right
 
 
@@ -179,8 +208,8 @@ def word_counts(train: DataFrame, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                counts.update(words_of(t))
+            coded = Coded(batch.column(0))
+            counts.update(dict(zip(coded.words, np.bincount(coded.codes, minlength=len(coded.words)).tolist())))
             counts[END] += batch.num_rows
             if len(counts) > FLUSH:
                 yield out()
@@ -219,10 +248,9 @@ def bloom_filter(train: DataFrame, vocabulary: DataFrame, text: str, segments: i
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            words = [words_of(t) for t in batch.column(0).to_pylist()]
-            if words:
-                left, right = pair_sequence(word_hashes([w for ws in words for w in ws]), [len(ws) for ws in words])
-                held.append(pair_keys(left, right))
+            if batch.num_rows:
+                coded = Coded(batch.column(0))
+                held.append(pair_keys(*pair_sequence(coded.hashes[coded.codes], coded.lengths)))
             if sum(map(len, held)) > PAIR_TOKENS:
                 yield _packed_batch(*_summed(np.concatenate(held)), segments)
                 held.clear()
@@ -258,9 +286,9 @@ def _gathered(filter_: DataFrame, segments: int, seg_bits: int) -> np.ndarray:
 
 def _keys_of(texts: list[str]) -> np.ndarray:
     """The distinct keys that the score of texts looks up."""
-    words = [words_of(t) for t in texts]
-    left, right = pair_sequence(word_hashes([w for ws in words for w in ws]), [len(ws) for ws in words])
-    return np.unique(np.concatenate([single_keys(np.unique(np.concatenate([left, right]))), pair_keys(left, right)]))
+    coded = Coded(pa.array(texts, pa.string()))
+    single = single_keys(np.append(coded.hashes, [START_HASH, END_HASH]))
+    return np.unique(np.concatenate([single, pair_keys(*pair_sequence(coded.hashes[coded.codes], coded.lengths))]))
 
 
 def _chunked(rows: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -356,34 +384,30 @@ def score(
     def tabled() -> dict:
         return dict(zip(table.value[0], np.log10(table.value[1] + 1.0).tolist()))
 
-    def of_rows(ids, texts: list[str], logs: dict, counts) -> pa.RecordBatch:
-        words = [words_of(t) for t in texts]
+    def of_rows(ids, texts: pa.Array, logs: dict, counts) -> pa.RecordBatch:
+        coded, end = Coded(texts), logs.get(END)
+        codes, lengths = coded.codes, coded.lengths
+        value = np.array([logs.get(w, np.nan) for w in coded.words])[codes] if len(codes) else np.empty(0)
+        known = ~np.isnan(value)
         base, sure, rare, times = [], [], [], []
-        for ws in words:
-            values = list(map(logs.get, ws))
-            values.append(logs.get(END))
-            unknown = Counter(w for w, v in zip(ws, values) if v is None) if None in values else {}
-            good = [v for v in values if v is not None]
-            if values[-1] is None:
-                unknown = Counter(unknown)
-                unknown[END] += 1
+        for a, n in zip(coded.starts.tolist(), lengths.tolist()):
+            good = value[a : a + n][known[a : a + n]].tolist() + [end] * (end is not None)
+            unknown, often = np.unique(codes[a : a + n][~known[a : a + n]], return_counts=True)
             base.append(math.fsum(good))
             sure.append(len(good))
-            rare.append(list(unknown))
-            times.append(list(unknown.values()))
-        lengths = [len(ws) for ws in words]
-        left, right = pair_sequence(word_hashes([w for ws in words for w in ws]), lengths)
-        unique, back = np.unique(np.concatenate([left, right]), return_inverse=True)
-        single = counts(single_keys(unique))[back]
-        before, own = single[: len(left)], single[len(left) :]
+            rare.append([coded.words[c] for c in unknown] + [END] * (end is None))
+            times.append(often.tolist() + [1] * (end is None))
+        left, right = pair_sequence(coded.hashes[codes], lengths)
+        single = counts(single_keys(np.append(coded.hashes, [START_HASH, END_HASH])))
+        before, own = pair_sequence(single[:-2][codes], lengths, single[-2], single[-1])
         pair = counts(pair_keys(left, right))
         p = (pair + MU * (own + 1.0) / (total + distinct + 1.0)) / (np.maximum(before, pair) + MU)
-        starts = np.cumsum(np.array(lengths) + 1) - np.array(lengths) - 1
+        starts = np.cumsum(lengths + 1) - lengths - 1
         sums = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts) if len(p) else np.empty(0)
         return pa.RecordBatch.from_arrays(
             [
                 ids,
-                pa.array(np.array(lengths, np.int64) + 1),
+                pa.array(lengths.astype(np.int64) + 1),
                 pa.array(sure, pa.int64()),
                 pa.array(base, pa.float64()),
                 pa.array(sums, pa.float64()),
@@ -396,7 +420,7 @@ def score(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs, bits = tabled(), bloom.value
         for batch in batches:
-            yield of_rows(batch.column(0), batch.column(1).to_pylist(), logs, lambda keys: probed(bits, keys, segments, seg_bits))
+            yield of_rows(batch.column(0), batch.column(1), logs, lambda keys: probed(bits, keys, segments, seg_bits))
 
     def scored_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
         cache = worker_cache()
@@ -407,7 +431,7 @@ def score(
         order = np.argsort(keys, kind="stable")
         keys, found = keys[order], found[order]
         ids = rows.column("_row").combine_chunks()
-        out = of_rows(ids, rows.column("_t").to_pylist(), cache["lm_logs"], lambda wanted: found[np.searchsorted(keys, wanted)])
+        out = of_rows(ids, rows.column("_t").combine_chunks(), cache["lm_logs"], lambda wanted: found[np.searchsorted(keys, wanted)])
         return pa.Table.from_batches([out])
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
