@@ -35,8 +35,8 @@ def row_sums(rows: np.ndarray, cols: np.ndarray, weights: np.ndarray | None, mat
     return out
 
 
-def vector_times(vec: pa.Array, matrix: np.ndarray) -> np.ndarray:
-    """(rows x dims) vectors, sparse and dense mixed, times (dims x k)."""
+def vector_cells(vec: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, values) of the stored cells of vectors, sparse and dense mixed, in row order."""
     kinds = vec.field("type").to_numpy(zero_copy_only=False)
     values, indices = vec.field("values"), vec.field("indices")
     lengths = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
@@ -45,7 +45,13 @@ def vector_times(vec: pa.Array, matrix: np.ndarray) -> np.ndarray:
     cols = np.arange(len(rows)) - np.repeat(starts, lengths)
     sparse = np.repeat(kinds == 0, lengths)
     cols[sparse] = indices.flatten().to_numpy(zero_copy_only=False)
-    return row_sums(rows, cols, values.flatten().to_numpy(zero_copy_only=False), matrix, len(vec))
+    return rows, cols, values.flatten().to_numpy(zero_copy_only=False)
+
+
+def vector_times(vec: pa.Array, matrix: np.ndarray) -> np.ndarray:
+    """(rows x dims) vectors, sparse and dense mixed, times (dims x k)."""
+    rows, cols, values = vector_cells(vec)
+    return row_sums(rows, cols, values, matrix, len(vec))
 
 
 def as_lists(x: np.ndarray) -> pa.Array:

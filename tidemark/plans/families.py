@@ -23,6 +23,7 @@ from tidemark.operators.columns import prefixed, union_all
 from tidemark.operators.embeddings import mean_vector
 from tidemark.operators.metrics import macro_scores
 from tidemark.operators.topics import topic_vector
+from tidemark.plans import lr_grid as LG
 from tidemark.plans import models as MO
 
 FAMILIES = {"Users": ("users",), "Message": ("bow", "topics", "mnum"), "Fusion": ("bow", "topics", "mnum", "users")}
@@ -207,17 +208,14 @@ def f1_of(pred: DataFrame) -> float:
     return macro_scores(pred).first()["F1"]
 
 
-def grid_select(specs: Sequence[MO.ModelSpec], train: DataFrame, dev: DataFrame, n: int | None = None) -> tuple[MO.ModelSpec, float]:
-    """Best dev macro F1; the first of equals wins. Feature tables are read from cache."""
-    n = train.count() if n is None else n
-    best, best_f1 = specs[0], -1.0
-    if len(specs) == 1:
-        return best, best_f1
-    for spec in specs:
-        f1 = f1_of(MO.fit(spec, train, n=n).predict(dev))
-        if f1 > best_f1:
-            best, best_f1 = spec, f1
-    return best, best_f1
+def grid_scores(specs: Sequence[MO.ModelSpec], train: DataFrame, dev: DataFrame) -> list[float]:
+    """Dev macro F1 of every configuration. Logistic regressions are fitted together, one job per iteration."""
+    if len(specs) > 1 and all(s.kind == "lr" for s in specs):
+        scorers, _ = LG.fit_lr_grid(train, specs)
+        f1 = {r["config"]: r["F1"] for r in LG.sweep(scorers, specs, dev).collect()}
+        return [f1[i] or 0.0 for i in range(len(specs))]
+    n = train.count()
+    return [f1_of(MO.fit(spec, train, n=n).predict(dev)) for spec in specs]
 
 
 def split_fold(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
@@ -245,9 +243,12 @@ def run_family(
     dev_frac: float = 0.125,
     seed: int = SP.DEFAULT_SEED,
     vocabularies: FoldVocabularies | None = None,
+    sweep: list | None = None,
 ):
     """One fold of one family: choose text setup and model on dev, refit on train + dev, score test.
 
+    `sweep` gets (fold, spec, setup, dev F1) of every configuration tried, the first of equals is chosen.
+
     Text features depend on the setup only, so they are built once per setup and the model grid
     runs over the cached table. Returns (spec, setup, dev F1, classifier, blocks, predictions).
     """
@@ -261,8 +262,9 @@ def run_family(
             fitted = Blocks(setup, blocks, train)
             tr = keep(assemble_blocks(fitted.transform(train), blocks).select("y_true", "features"))
             dv = keep(assemble_blocks(fitted.transform(dev), blocks).select("y_true", "features"))
-            for spec in specs:
-                f1 = f1_of(MO.fit(spec, tr).predict(dv))
+            for spec, f1 in zip(specs, grid_scores(specs, tr, dv)):
+                if sweep is not None:
+                    sweep.append((fold, spec, setup, f1))
                 if f1 > best[2]:
                     best = (spec, setup, f1)
             tr.unpersist()
