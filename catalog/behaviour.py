@@ -231,7 +231,7 @@ def type2_history(spark, sf):
 
 
 def aggregate_text(spark, sf):
-    return TL.aggregate_text(V.posts(spark, sf), max_posts=N)
+    return TL.aggregate_text(V.posts(spark, sf))
 
 
 def user_ratios(spark, sf):
@@ -344,7 +344,7 @@ SQL = {
         WITH {RAW_SQL} SELECT user_id AS "user", id FROM raw
         WHERE NOT rt AND NOT q AND ts <= TIMESTAMP '2024-01-20 00:00:00'""",
     "aggregate_text": f"""
-        WITH {RAW_SQL}, p AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, id) - 1) // {N} AS part FROM raw)
+        WITH {RAW_SQL}, p AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, id) - 1) // {TL.TIMELINE_MAX} AS part FROM raw)
         SELECT user_id AS "user", CAST(part AS INTEGER) AS part, string_agg(txt, ' ' ORDER BY ts, id) AS aggr_text, count(*) AS n_posts
         FROM p GROUP BY user_id, part""",
     "user_ratios": f"""

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from catalog.behaviour import rounded
 from catalog.folds import FOLD_SQL, encoded
 from catalog.payloads import LABELED_SQL
-from catalog.texts import CMAP_SQL, DOCS_SQL, VOCAB_SQL
+from catalog.texts import ALL_CMAP_SQL, DOCS_SQL, VOCAB_SQL
 from tidemark.functions.arrays import explode_rows
 from tidemark.functions.text import normalize_tokens
 from tidemark.operators import diagnostics as D
 from tidemark.operators import metrics as M
 from tidemark.operators import splits as SP
 from tidemark.operators.ranking import top_features as top_features_of
-from tidemark.operators.sequences import MAX_VOCAB
 from tidemark.plans import views as V
 
 REPEATS = 20
@@ -127,7 +126,7 @@ def _contributions(spark, sf):
     tf = words.groupBy("fold", "doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
     weight = (F.ascii("token") * 7 + F.length("token")) % 11 - 5
     rows = tf.select("fold", "doc_id", "token", (F.col("tf") * weight).cast("double").alias("contrib"))
-    out = D.cluster_contributions(rows, V.cluster_map(spark, sf), ["fold", "doc_id"], cmap_max_rows=MAX_VOCAB)
+    out = D.cluster_contributions(rows, V.token_clusters(spark, sf), ["fold", "doc_id"])
     # At most one row per document and cluster, read by several branches.
     return out.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -138,12 +137,12 @@ def cluster_saliency_agg(spark, sf):
 
 def cluster_occlusion_fixed(spark, sf):
     docs = folded(spark, sf).select("fold", "doc_id", F.col("label").alias("y_true"))
-    return rounded(D.cluster_occlusion(docs, _contributions(spark, sf), "doc_id", topk=10))
+    return rounded(D.cluster_occlusion(docs, _contributions(spark, sf), "doc_id"))
 
 
 def cluster_occlusion_agg(spark, sf):
     docs = folded(spark, sf).select("fold", "doc_id", F.col("label").alias("y_true"))
-    return rounded(D.aggregate_occlusion(D.cluster_occlusion(docs, _contributions(spark, sf), "doc_id", topk=10)))
+    return rounded(D.aggregate_occlusion(D.cluster_occlusion(docs, _contributions(spark, sf), "doc_id")))
 
 
 def _sweep(spark, sf):
@@ -267,13 +266,13 @@ def _zero_sql():
     FROM sa JOIN sb USING (fold)"""
 
 
-CONTRIB_SQL = f"""{DOCS_SQL}, {VOCAB_SQL}, {CMAP_SQL}, {LABELED_SQL}, {FOLD_SQL},
+CONTRIB_SQL = f"""{DOCS_SQL}, {VOCAB_SQL}, {ALL_CMAP_SQL}, {LABELED_SQL}, {FOLD_SQL},
 tok AS (SELECT fold, docs.doc_id, unnest(toks) AS w FROM docs JOIN folds ON docs.doc_id = folds.doc_id),
 con AS (SELECT fold, doc_id, cluster, CAST(((ascii(w) * 7 + length(w)) % 11 - 5) AS DOUBLE) AS c FROM tok LEFT JOIN cmap ON w = token),
 sal AS (SELECT fold, cluster, sum(abs(c)) AS saliency FROM con WHERE cluster IS NOT NULL GROUP BY fold, cluster)
 """
 OCC_SQL = f"""{CONTRIB_SQL},
-tested AS (SELECT fold, cluster FROM sal QUALIFY row_number() OVER (PARTITION BY fold ORDER BY saliency DESC, cluster) <= 10),
+tested AS (SELECT fold, cluster FROM sal QUALIFY row_number() OVER (PARTITION BY fold ORDER BY saliency DESC, cluster) <= {D.OCCLUDE_TOPK}),
 base AS (SELECT f.fold, f.y, (coalesce(sum(c), 0) > 0)::INT AS p FROM folds f LEFT JOIN con ON f.fold = con.fold AND f.doc_id = con.doc_id GROUP BY f.fold, f.doc_id, f.y),
 occ AS (SELECT t.fold, t.cluster, f.y, (coalesce(sum(c) FILTER (WHERE con.cluster IS DISTINCT FROM t.cluster), 0) > 0)::INT AS p
         FROM tested t JOIN folds f ON t.fold = f.fold LEFT JOIN con ON f.fold = con.fold AND f.doc_id = con.doc_id
