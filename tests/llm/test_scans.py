@@ -1,4 +1,5 @@
 import hashlib
+import html
 import random
 import re
 import zlib
@@ -73,17 +74,67 @@ PAGES = {
     "plain words, no markup": "plain words, no markup",
 }
 
+LONG = "<p>" + "A sentence, with commas, of some length. " * 12 + "</p>"
+LONG_TEXT = ("A sentence, with commas, of some length. " * 12).strip()
+MENU = "<div class='menu'><a href=/>Home</a> <a href=/b>More</a></div>"
+NOTES = "<div class='comment-list'>" + "<p>I think, as a reader, otherwise.</p>" * 200 + "</div>"
+#: Containers whose names or tags also mark boilerplate, but which hold the article.
+WHOLE = [
+    "<form id=aspnetForm>{}</form>", "<div class='no-sidebar'>{}</div>", "<div id='search-page'>{}</div>", "<div data-id='header'>{}</div>",
+    "<div title='hidden gems' data-role='banner'>{}</div>", "<div class='content main alert'>{}</div>", "<form><div class='sidebar-right'>{}</div></form>",
+    "<div class='content with-sidebar'>{}</div>", "<div role=form><section class='widget'>{}</section></div>", "<div aria-hidden=false>{}</div>",
+]
+
+
+@pytest.mark.parametrize("container", WHOLE)
+def test_articles_in_doubtful_containers(container):
+    for page in (LONG, MENU + LONG, LONG + NOTES, f"<div class='newsletter'><p>Join us, now.</p></div>{LONG}"):
+        assert html_main.main_text(f"<body><nav><a>x</a></nav>{container.format(page)}<footer>f</footer>") == LONG_TEXT
+    article = f"<article>{LONG}</article>"
+    assert html_main.main_text(container.format(MENU + article)) == LONG_TEXT
+
+
+@pytest.mark.parametrize("kind", ["form", "div class='sidebar'", "div class='page-footer'", "div role=dialog", "div id=search", "div class='comments'", "div class='ad'"])
+def test_boilerplate_beside_an_article_goes(kind):
+    other = f"<{kind}><p>{'Other, unwanted words. ' * 20}</p></{kind.split()[0]}>"
+    for page in (f"{other}<div>{LONG}</div>", f"<article>{LONG}</article>{other}", f"<div>{LONG}{other}</div>", f"<form id=f>{other}{LONG}</form>"):
+        assert html_main.main_text(page) == LONG_TEXT
+
+
+def test_short_blocks_between_kept_ones_stay():
+    links = "<div><a href=/>one</a> <a href=/>two</a></div>"
+    page = f"{links}<div>{LONG}</div><div><p>Short bit.</p></div>{links}bare<div>{LONG}</div>{links}"
+    assert html_main.main_text(page) == "\n\n".join([LONG_TEXT, "Short bit.", "bare", LONG_TEXT])
+    assert html_main.main_text("<div>" * 3000 + LONG) == LONG_TEXT
+
 
 @pytest.mark.parametrize("page", PAGES)
 def test_main_text(page):
     assert html_main.main_text(page) == PAGES[page]
 
 
+def plain_main_text(page):
+    """The article of the generated pages, cut out with patterns."""
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = [re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b)) for b in re.split(r"</?(?:p|h1|h2|div|ul|li)\b[^>]*>", body)]
+    return "\n\n".join(b for b in (" ".join(html.unescape(b).split()) for b in blocks) if b)
+
+
+def test_query_equals_plain_cuts(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = queries.op6_html(spark, sf).collect()
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    for r in got:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, plain_main_text(pages[r.page_id].html), len(r.text))
+
+
 def test_pages_on_spark(spark):
     rows = [(i, None, p, "clash") for i, p in enumerate([*PAGES, None, "<p>" + "long text, " * 60_000])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     out = {r.page_id: r.main for r in df.withColumn("main", html_main.main_text_of(df)).collect()}
     assert [out[i] for i in range(len(PAGES))] == list(PAGES.values())
     assert out[len(PAGES)] == "" and out[len(PAGES) + 1] == ("long text, " * 60_000).strip()
-    got = queries.op6_html(spark, "/root/testdata/sf0.001").collect()
-    assert len(got) == 50 and all(r.n_chars == len(r.text) for r in got)
+    twice = df.union(df)
+    assert twice.select(html_main.main_text_of(twice).alias("main")).distinct().count() == len(set(out.values()))
+    assert df.filter("1 = 0").select(html_main.main_text_of(df)).collect() == []
