@@ -16,6 +16,7 @@ from tidemark.operators import lsa as LS
 from tidemark.operators import tfidf as TF
 from tidemark.operators.metrics import macro_scores
 from tidemark.operators.sequences import MAX_VOCAB
+from tidemark.plans import boosting as BO
 from tidemark.plans import families as FA
 from tidemark.plans import lr_grid as LG
 from tidemark.plans import models as MO
@@ -130,15 +131,52 @@ def lr_log_odds(spark, sf):
     return spark.createDataFrame(out, "fold int, penalty string, intercept double, coefficient double")
 
 
+#: Cuts of the columns of `boosted_stumps`, and its (least curvature of a side, squared penalty, absolute penalty).
+STUMP_CUTS = {"n_chars": (0, 200, 400, 800, 1600, 3200, 6400), "n_words": (0, 50, 100, 200, 400, 800), "n_lines": (0, 1, 2, 4, 8), "toxic": (0,)}
+STUMP_PENALTIES = ((1.0, 1.0, 0.0), (2.0, 2.0, 0.5))
+
+
+def boosted_stumps(spark, sf):
+    """The first split of boosted trees, per left-out fold and penalties: column, cut, gain and both leaf values."""
+    df = FA.VectorAssembler(inputCols=list(STUMP_CUTS), outputCol="features").transform(folded(spark, sf).withColumnRenamed("label", "y_true"))
+    df = FA.keep(df.select("fold", "y_true", "features"))
+    bins, out = BO.fixed_bins([[float(c) for c in cuts] for cuts in STUMP_CUTS.values()]), []
+    for fold in range(1, 6):
+        for i, (least, square, absolute) in enumerate(STUMP_PENALTIES):
+            model = BO.fit_boosted(
+                df.filter(F.col("fold") != fold), max_depth=1, trees=1, min_child=least, reg_lambda=square, reg_alpha=absolute,
+                row_share=1, column_share=1, bins=bins,
+            )
+            for s in model.trees[0].splits():
+                values = (round(x, 6) + 0.0 for x in (s.gain, s.left.value, s.right.value))
+                out.append((fold, i, list(STUMP_CUTS)[s.feature], bins.threshold(s), *values))
+    df.unpersist()
+    return spark.createDataFrame(out, "fold int, penalties int, feature string, cut double, gain double, left_value double, right_value double")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lr_scores, message_scores, fusion_scores, embedding_fusion_scores, rbf_svm_scores, gbt_scores, mlp_scores, lsa,
         coef_importance, tree_importance, lofo_refit, block_ablation, permutation_importance_fitted, lr_log_odds,
+        boosted_stumps,
     )
 }
 
-#: Most fits are checked by rows and unit tests only; on one binary column the optimum has a closed form.
+_STUMP_CUTS = " UNION ALL ".join(
+    f"SELECT {f} AS f, '{name}' AS feature, {float(c)} AS cut, {float(cuts[i + 1]) if i + 1 < len(cuts) else 1e18} AS following"
+    for f, (name, cuts) in enumerate(STUMP_CUTS.items())
+    for i, c in enumerate(cuts)
+)
+_STUMP_VALUES = " UNION ALL ".join(f"SELECT fold, y, {f} AS f, {name} AS v FROM folds" for f, name in enumerate(STUMP_CUTS))
+_PENALTIES = ", ".join(f"({i}, {float(a)}, {float(b)}, {float(c)})" for i, (a, b, c) in enumerate(STUMP_PENALTIES))
+
+
+def _drawn(g: str) -> str:
+    return f"sign({g}) * greatest(abs({g}) - alpha, 0.0)"
+
+
+#: Most fits are checked by rows and unit tests only; a single column or a single split has a closed form.
 SQL: dict[str, str] = {
     "lr_log_odds": f"""WITH {LABELED_SQL}, {FOLD_SQL},
         t AS (SELECT unnest([1, 2, 3, 4, 5]) AS out),
@@ -149,4 +187,17 @@ SQL: dict[str, str] = {
               FROM c JOIN w USING (out) GROUP BY out)
         SELECT CAST(out AS INTEGER) AS fold, penalty, round(a, 3) + 0.0 AS intercept, round(b - a, 3) + 0.0 AS coefficient
         FROM o, (SELECT unnest(['l1', 'l2']) AS penalty)""",
+    # Gradients are w * (1/2 - y), curvatures w / 4: counts of both labels on either side of a cut give all sums.
+    "boosted_stumps": f"""WITH {LABELED_SQL}, {FOLD_SQL}, cuts AS ({_STUMP_CUTS}), vals AS ({_STUMP_VALUES}),
+        n AS (SELECT out, f, feature, cut, count(*) FILTER (WHERE y = 1 AND v <= cut) AS lp, count(*) FILTER (WHERE y = 0 AND v <= cut) AS ln,
+                     count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n, count(*) FILTER (WHERE v > cut AND v <= following) AS beside
+              FROM (SELECT unnest([1, 2, 3, 4, 5]) AS out) t, vals JOIN cuts USING (f) WHERE fold <> out GROUP BY out, f, feature, cut),
+        w AS (SELECT *, greatest(n, 1) / CAST(greatest(p, 1) AS DOUBLE) AS w FROM n),
+        s AS (SELECT *, 0.5 * (ln - w * lp) AS gl, 0.25 * (ln + w * lp) AS hl, 0.5 * (n - w * p) AS g, 0.25 * (n + w * p) AS h FROM w),
+        q AS (SELECT *, g - gl AS gr, h - hl AS hr FROM s, (VALUES {_PENALTIES}) AS c(penalties, least, square, alpha) WHERE beside > 0),
+        d AS (SELECT *, {_drawn("gl")} AS dl, {_drawn("gr")} AS dr, {_drawn("g")} AS da FROM q WHERE hl >= least AND hr >= least),
+        r AS (SELECT *, dl * dl / (hl + square) + dr * dr / (hr + square) - da * da / (h + square) AS gain FROM d)
+        SELECT CAST(out AS INTEGER) AS fold, CAST(penalties AS INTEGER) AS penalties, feature, CAST(cut AS DOUBLE) AS cut, round(gain, 6) + 0.0 AS gain,
+               round(-0.1 * dl / (hl + square), 6) + 0.0 AS left_value, round(-0.1 * dr / (hr + square), 6) + 0.0 AS right_value
+        FROM r WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY out, penalties ORDER BY round(gain, 9) DESC, f, cut) = 1""",
 }

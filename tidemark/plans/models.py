@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import fourier_features
 from tidemark.operators.numeric import class_weights
 from tidemark.operators.splits import DEFAULT_SEED
+from tidemark.plans.boosting import BOOST_GRID, BoostedTrees, fit_boosted
 
 # The grids of the classical models and the layers of the user network.
 LR_C = (10.0, 100.0, 1e3, 1e4, 1e5)
@@ -37,7 +38,7 @@ GBT_GRID = (
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """kind: lr, rbf_svm, gbt or mlp; params as in the fit functions below."""
+    """kind: lr, rbf_svm, gbt, boost or mlp; params as in the fit functions below."""
 
     kind: str
     params: dict[str, Any] = field(default_factory=dict)
@@ -57,6 +58,11 @@ def gbt_grid() -> list[ModelSpec]:
     return [ModelSpec("gbt", dict(g)) for g in GBT_GRID]
 
 
+def boost_grid() -> list[ModelSpec]:
+    """Boosted trees with leaf penalties."""
+    return [ModelSpec("boost", dict(g)) for g in BOOST_GRID]
+
+
 class Classifier:
     """A fitted model with its input preparation."""
 
@@ -136,7 +142,12 @@ def fit_mlp(df: DataFrame, features: str, label: str, n: int, hidden: tuple[int,
     return Classifier(mlp.fit(df), features)
 
 
-_FIT = {"lr": fit_lr, "rbf_svm": fit_rbf_svm, "gbt": fit_gbt, "mlp": fit_mlp}
+def fit_boost(df: DataFrame, features: str, label: str, n: int, **params) -> BoostedTrees:
+    """Boosted trees with second-order gains and leaf penalties; params as in `fit_boosted`."""
+    return fit_boosted(df, features, label, **params)
+
+
+_FIT = {"lr": fit_lr, "rbf_svm": fit_rbf_svm, "gbt": fit_gbt, "boost": fit_boost, "mlp": fit_mlp}
 
 
 def fit(spec: ModelSpec, df: DataFrame, features: str = "features", label: str = "y_true", n: int | None = None) -> Classifier:
@@ -155,7 +166,9 @@ def coef_importance(clf: Classifier, names: list[str], spark) -> DataFrame:
 
 
 def tree_importance(clf: Classifier, names: list[str], spark) -> DataFrame:
-    """(feature, importance): normalised gain; features no tree uses are left out."""
+    """(feature, importance): normalised gain, or mean gain of penalised trees; features no tree uses are left out."""
+    if isinstance(clf, BoostedTrees):
+        return clf.gain_importance(names, spark)
     imp = clf.model.featureImportances.toArray()
     if len(imp) != len(names):
         raise ValueError("one name per feature is required")
