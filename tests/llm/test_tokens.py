@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -17,15 +16,27 @@ def mixed(rnd, n):
     return "".join(rnd.choice(rnd.choice(ALPHABETS)) if rnd.random() < 0.9 else rnd.choice(ALPHABETS) for _ in range(n))
 
 
-def test_tree_joins_equal_the_library():
-    enc, rnd = bpe.Encoder(open(WORD, encoding="utf-8").read()), random.Random(5)
-    for k in range(150):
-        text = mixed(rnd, rnd.choice([40, 600, 2500]))
-        text = text.replace(" ", "") if k % 2 else text
-        size = rnd.choice([37, 200, 401])
-        pieces = [bpe.leaf(enc.tok, text[i : i + size], enc.chunk_ids) for i in range(0, len(text), size)] or [bpe.leaf(enc.tok, "", enc.chunk_ids)]
-        got = bpe.piece_ids(bpe.tree_join(enc.tok, pieces)).tolist()
-        assert got == enc.tok.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("path, size", [(WORD, 97), (BYTE, 97), (WORD, 200), (BYTE, 333)])
+def test_tree_joins_equal_the_library(spark, path, size):
+    rnd, tok = random.Random(size), Tokenizer.from_file(path)
+    texts = [mixed(rnd, rnd.choice([40, 98, 600, 2500])) for _ in range(30)]
+    texts = [t.replace(" ", "") if k % 2 else t for k, t in enumerate(texts)] + [" " * 1500, "a" * 1500, "1" * 700 + "'" * 300 + "s" * 400, "\n " * 400 + "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bpe.encode(docs, path, leaf_chars=size).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.ids == tok.encode(r.text, add_special_tokens=False).ids
+
+
+def test_leaves_of_a_long_unsplit_text_are_spread(spark):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdeé日'x1") for _ in range(700_000))
+    texts = spark.createDataFrame([("h", text)], "_text_hash string, _t string")
+    leaves = bpe._leaves(texts, 20_000, True)
+    spread = leaves.groupBy(bpe.F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in spread) == 35 and max(r["count"] for r in spread) < 30 and len(spread) > 1
+    docs = texts.select(bpe.F.col("_t").alias("text"))
+    assert bpe.encode(docs, WORD, leaf_chars=20_000).first().ids == Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids
 
 
 def test_encode_and_decode_equal_the_library(spark):
@@ -87,4 +98,3 @@ def test_join_of_two_words_with_agreement_far_away():
     for left, right in (("a" * 5000, "a" * 5000), ("<|endof", "text|>" * 400), ("", "abc"), ("x" * 3000 + "'", "s" * 3000)):
         u, v = bpe._encode_open(enc.tok, left), bpe._encode_open(enc.tok, right)
         assert bpe.join_open(enc.tok, u, v).ids.tolist() == enc.tok.encode(left + right, add_special_tokens=False).ids
-    assert np.array_equal(bpe.piece_ids(bpe.leaf(enc.tok, "", enc.chunk_ids)), [])

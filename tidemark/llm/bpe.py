@@ -1,15 +1,21 @@
 """BPE encoding and decoding by tree concatenation.
 
-Texts up to `LEAF` characters are encoded where they stand. A longer one is cut into leaves at fixed
-character positions, leaves are encoded in parallel as rows of their own, and the results are joined
-pairwise up a tree. White space closes what it ends, so a join only concerns the unfinished chunk left
-of it and the one right of it. Two chunks are joined by encoding a growing window around the join anew
-until it agrees with both sides: it shares a token (same id, same characters) with the left side and
-one with the right side, each `MARGIN` characters or more away from the window's edges and the join.
+Texts up to `LEAF` characters are encoded where they stand. A longer one is cut into leaves at fixed character
+positions, and leaves are encoded in parallel, as rows of their own. White space closes what it ends, so only the
+unfinished chunks at a leaf's edges go on: those that meet (the end of a leaf, leaves without white space, the
+beginning of the next) are a seam, and the open chunks of a seam are joined pairwise up a tree, every round a
+shuffle by (text, seam, pair). What lies inside a leaf is not moved until the ids of a text are put together.
+
+Two chunks are joined by encoding a growing window around the join anew until it agrees with both sides: it
+shares a token (same id, same characters) with the left side and one with the right side, each `MARGIN`
+characters or more away from the window's edges and the join.
 
 Why that is exact: a token sequence is the encoding of its text if every adjacent pair of tokens is, and
 every pair of the result stands in the left encoding, in the window's or in the right one; where words
 and special strings begin is decided by fewer than `MARGIN` characters around.
+
+Of files that keep white space, byte-level ones with the usual pattern have nothing that is decided from afar
+either: their long texts are one seam. Any other such file encodes a long text whole, in one task.
 """
 
 from __future__ import annotations
@@ -26,11 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, text_or_empty, worker_cache
+from tidemark.llm.common import checkpointed, small_batches, text_or_empty, worker_cache
 
 LEAF = 32_768
 MARGIN, WINDOW = 32, 128
-CHUNK = r"[^ \t\n\r]+"
+CHUNK, BLANK = r"[^ \t\n\r]+", re.compile(r"[ \t\n\r]")
+#: Characters of the leaves of one Arrow batch.
+BATCH_CHARS = 4_000_000
+LEAVES = "_text_hash string, seam int, place int, closed boolean, part string"
+OPENS = "_text_hash string, seam int, place int, part string, ids array<int>, starts array<int>, ends array<int>"
 REMEMBERED, REMEMBERED_CHARS = 600_000, 64
 
 
@@ -44,6 +54,14 @@ def closes_at_space(model: dict) -> bool:
     return bool(dropped and plain and "Prepend" not in norm)
 
 
+def joins_locally(model: dict) -> bool:
+    """Whether a file that keeps white space cuts words by the plain byte-level pattern, and nothing else."""
+    pre, bpe = model.get("pre_tokenizer") or {}, model.get("model") or {}
+    plain = not any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in model.get("added_tokens", []))
+    whole = bpe.get("ignore_merges") or bpe.get("dropout") or bpe.get("type", "BPE") != "BPE"
+    return bool(pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("normalizer") and plain and not whole)
+
+
 @dataclass
 class Open:
     """A chunk that may go on beyond its edge: characters, token ids, and the characters of each token."""
@@ -54,16 +72,6 @@ class Open:
     end: np.ndarray
 
 
-@dataclass
-class Piece:
-    """Encoding of a stretch of text. `single`: no white space inside, then `left` is all of it."""
-
-    left: Open
-    middle: bytes
-    right: Open
-    single: bool
-
-
 def _encode_open(tok, text: str, shift: int = 0) -> Open:
     e = tok.encode(text, add_special_tokens=False) if text else None
     at = np.array(e.offsets if e else [], dtype=np.int64).reshape(-1, 2) + shift
@@ -112,38 +120,21 @@ def join_open(tok, u: Open, v: Open) -> Open:
         size *= 2
 
 
-def leaf(tok, text: str, chunk_ids) -> Piece:
-    """`chunk_ids(chunks)`: the ids, as bytes, of chunks that are closed on both sides."""
-    first, last = re.search(r"[ \t\n\r]", text), re.search(r"[ \t\n\r][^ \t\n\r]*\Z", text)
-    if first is None:
-        whole = _encode_open(tok, text)
-        return Piece(whole, b"", whole, True)
-    left, right = text[: first.start()], text[last.start() + 1 :]
-    inner = re.findall(CHUNK, text[first.start() : last.start() + 1])
-    return Piece(_encode_open(tok, left), chunk_ids(inner), _encode_open(tok, right), False)
-
-
-def join_pieces(tok, a: Piece, b: Piece) -> Piece:
-    if a.single and b.single:
-        both = join_open(tok, a.left, b.left)
-        return Piece(both, b"", both, True)
-    if a.single:
-        return Piece(join_open(tok, a.left, b.left), b.middle, b.right, False)
-    if b.single:
-        return Piece(a.left, a.middle, join_open(tok, a.right, b.left), False)
-    seam = join_open(tok, a.right, b.left)
-    return Piece(a.left, a.middle + seam.ids.tobytes() + b.middle, b.right, False)
+def cut_leaves(text: str, size: int, closing: bool) -> Iterator[tuple[int, int, bool, str]]:
+    """(seam, place in the seam, closed, text) of the leaves of a text; a closed leaf ends one seam and begins the next."""
+    seam, place = 0, 0
+    for at in range(0, len(text), size):
+        part = text[at : at + size]
+        closed = closing and BLANK.search(part) is not None
+        yield seam, place, closed, part
+        seam, place = (seam + 1, 1) if closed else (seam, place + 1)
 
 
-def piece_ids(p: Piece) -> np.ndarray:
-    own = [p.left.ids] if p.single else [p.left.ids, np.frombuffer(p.middle, np.int32), p.right.ids]
-    return np.concatenate(own).astype(np.int32)
-
-
-def tree_join(tok, pieces: list[Piece]) -> Piece:
-    while len(pieces) > 1:
-        pieces = [join_pieces(tok, *pieces[i : i + 2]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-    return pieces[0]
+def closed_leaf(tok, text: str, chunk_ids) -> tuple[Open, bytes, Open]:
+    """The open chunks at both edges of a leaf with white space, and the ids between, of `chunk_ids(chunks)`."""
+    first, last = BLANK.search(text).start(), max(map(text.rfind, " \t\n\r"))
+    inner = re.findall(CHUNK, text[first : last + 1])
+    return _encode_open(tok, text[:first]), chunk_ids(inner), _encode_open(tok, text[last + 1 :])
 
 
 class Encoder:
@@ -221,6 +212,80 @@ def _shared_model(docs: DataFrame, model_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _leaves(texts: DataFrame, size: int, closing: bool) -> DataFrame:
+    """Rows of leaves of (_text_hash, _t), dealt over all tasks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, chars = [], 0
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for row in cut_leaves(text.as_py(), size, closing):
+                    held.append((h, *row))
+                    chars += len(row[3])
+                    if chars > BATCH_CHARS:
+                        yield _batch(held)
+                        held, chars = [], 0
+            if held:
+                yield _batch(held)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["_text_hash", "seam", "place", "closed", "part"])
+
+    # With a number, since small partitions would be put together again: leaves are little data but much work.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInArrow(cut, LEAVES).repartition(tasks, "_text_hash", "seam", "place")
+
+
+def _open_row(h: str, seam: int, place: int, o: Open) -> tuple:
+    return h, seam, place, o.text, o.ids, o.start.astype(np.int32), o.end.astype(np.int32)
+
+
+def _joined_seams(opens: DataFrame, key: str, shared) -> DataFrame:
+    """(_text_hash, seam, ids): the open chunks of every seam joined, two at a time."""
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("place")
+        parts = [Open(t, *(np.asarray(a, d) for a, d in zip(x, (np.int32, np.int64, np.int64)))) for t, *x in zip(rows["part"], rows["ids"], rows["starts"], rows["ends"])]
+        whole = parts[0] if len(parts) == 1 else join_open(worker_encoder(key, shared).tok, *parts)
+        h, seam, place = rows.iloc[0][["_text_hash", "seam", "place"]]
+        return pd.DataFrame([_open_row(h, seam, place // 2, whole)], columns=list(pdf.columns))
+
+    most = opens.agg(F.max("place")).first()[0] or 0
+    while most:
+        opens = opens.groupBy("_text_hash", "seam", F.expr("place div 2")).applyInPandas(pair, OPENS)
+        most //= 2
+    return opens.select("_text_hash", "seam", "ids")
+
+
+def _long_ids(texts: DataFrame, key: str, shared, leaf_chars: int) -> DataFrame:
+    """(_text_hash, _ids) of distinct long texts (_text_hash, _t)."""
+    model = json.loads(shared.value)
+    closing = closes_at_space(model)
+    size = leaf_chars if closing or joins_locally(model) else 2**31 - 1
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = worker_encoder(key, shared)
+        for batch in batches:
+            for h, seam, place, closed, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if closed:
+                    left, middle, right = closed_leaf(enc.tok, part, enc.chunk_ids)
+                    inner = Open("", np.frombuffer(middle, np.int32), *[np.empty(0, np.int64)] * 2)
+                    rows = [_open_row(h, seam, place, left), _open_row(h, seam, -1, inner), _open_row(h, seam + 1, 0, right)]
+                else:
+                    rows = [_open_row(h, seam, place, _encode_open(enc.tok, part))]
+                types = [pa.string(), pa.int32(), pa.int32(), pa.string(), *[pa.list_(pa.int32())] * 3]
+                names = ["_text_hash", "seam", "place", "part", "ids", "starts", "ends"]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names)
+
+    # Written once: the number of rounds is read from it, and no leaf is encoded again for it.
+    made = checkpointed(_leaves(texts, size, closing).mapInArrow(encoded, OPENS))
+    seams = _joined_seams(made.filter("place >= 0"), key, shared).select("_text_hash", F.expr("2 * seam").alias("at"), "ids")
+    inner = made.filter("place < 0").select("_text_hash", F.expr("2 * seam + 1").alias("at"), "ids")
+    parts = F.sort_array(F.collect_list(F.struct("at", "ids")))
+    return seams.unionByName(inner).groupBy("_text_hash").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("_ids"))
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", leaf_chars: int = LEAF) -> DataFrame:
     """`docs` and `out` array<int>: the ids of the whole text, special tokens not added.
 
@@ -235,32 +300,16 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids
         for batch in batches:
             yield _list_array(enc.encode_all(batch.to_pylist()))
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
-        enc = worker_encoder(key, shared)
-        parts = pdf.drop_duplicates("leaf").sort_values("leaf")
-        if enc.closing:
-            pieces = [leaf(enc.tok, t, enc.chunk_ids) for t in parts["part"]]
-            ids = piece_ids(tree_join(enc.tok, pieces))
-        else:
-            ids = np.frombuffer(enc.encode_all(["".join(parts["part"])])[0], np.int32)
-        return pd.DataFrame({"_text_hash": [pdf["_text_hash"].iloc[0]], "_ids": [ids]})
-
     short_ids.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     docs = docs.drop(out)
     t = text_or_empty(text)
     is_long = F.length(t) > leaf_chars
     short = docs.filter(~is_long).withColumn(out, F.arrow_udf(short_ids, "array<int>")(t))
     hashed = F.sha2(F.col(text), 256)
-    long = docs.filter(is_long).withColumn("_text_hash", hashed)
-    leaves = (
-        docs.filter(is_long)
-        .select(hashed.alias("_text_hash"), F.col(text).alias("_t"))
-        .select("_text_hash", "_t", F.explode(F.expr(f"sequence(0, cast((length(_t) - 1) div {leaf_chars} as int))")).alias("leaf"))
-        .select("_text_hash", "leaf", F.expr(f"substring(_t, leaf * {leaf_chars} + 1, {leaf_chars})").alias("part"))
-        .dropDuplicates(["_text_hash", "leaf"])
-    )
-    whole = leaves.groupBy("_text_hash").applyInPandas(joined, "_text_hash string, _ids array<int>")
-    rest = long.join(whole, "_text_hash").withColumn(out, F.col("_ids")).drop("_text_hash", "_ids")
+    long = docs.filter(is_long)
+    texts = long.select(hashed.alias("_text_hash"), F.col(text).alias("_t")).groupBy("_text_hash").agg(F.first("_t").alias("_t"))
+    whole = _long_ids(texts, key, shared, leaf_chars)
+    rest = long.withColumn("_text_hash", hashed).join(whole, "_text_hash").withColumn(out, F.col("_ids")).drop("_text_hash", "_ids")
     return short.unionByName(rest)
 
 
