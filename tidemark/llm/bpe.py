@@ -155,9 +155,10 @@ class Encoder:
 
     def chunk_ids(self, chunks: list[str]) -> bytes:
         known = self.known
-        self.learn(set(chunks).difference(known))
+        new = set(chunks).difference(known)
+        self.learn(new)
         out = b"".join(map(known.__getitem__, chunks))
-        self.forget()
+        self.forget(new)
         return out
 
     def learn(self, new: set[str]) -> None:
@@ -171,9 +172,12 @@ class Encoder:
             cuts = np.searchsorted(at, [*begins, begins[-1] + len(part[-1])])
             self.known.update((c, ids[a:b].tobytes()) for c, a, b in zip(part, cuts[:-1], cuts[1:]))
 
-    def forget(self) -> None:
-        if len(self.known) > REMEMBERED or any(len(c) > REMEMBERED_CHARS for c in self.known):
-            self.known = {c: i for c, i in self.known.items() if len(c) <= REMEMBERED_CHARS} if len(self.known) <= REMEMBERED else {}
+    def forget(self, new: set[str]) -> None:
+        for c in new:
+            if len(c) > REMEMBERED_CHARS:
+                del self.known[c]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.closing:
@@ -182,11 +186,7 @@ class Encoder:
         new = set().union(*chunks).difference(self.known)
         self.learn(new)
         out = [b"".join(map(self.known.__getitem__, c)) for c in chunks]
-        for c in new:
-            if len(c) > REMEMBERED_CHARS:
-                del self.known[c]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.forget(new)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
