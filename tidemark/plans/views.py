@@ -27,6 +27,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def scan_partitions(spark: SparkSession, sf: str, name: str) -> int:
+    """Tasks that read a table, a measure of its size."""
+    return table(spark, sf, name).rdd.getNumPartitions()
+
+
 def now_ts():
     return F.from_utc_timestamp(F.lit(NOW).cast("timestamp"), F.current_timezone())
 
