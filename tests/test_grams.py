@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as AR
 from tidemark.operators import grams as GR
+from tidemark.operators import tfidf as TF
 
 
 def brute(words, n_max):
@@ -54,3 +55,17 @@ def test_slices_are_whole_rows_of_bounded_length(monkeypatch):
     assert sum(parts, []) == col.to_pylist()
     assert [sum(len(r or []) for r in p) for p in parts] == [3, 3, 9, 1]
     assert [len(s) for s in AR.token_slices(col.slice(0, 0))] == [0]
+
+
+def test_long_weights_of_whole_documents_need_no_shuffle(spark):
+    _, df = corpus(spark)
+    docs = TF.with_terms(df.filter("tokens IS NOT NULL"), 2)
+    by_position = TF.fit_tfidf(docs, "doc", 2, 2, 0.9, 50, tokens="tokens")
+    model = TF.fit_tfidf(docs, "doc", 2, 2, 0.9, 50)
+    assert sorted(by_position.vocab.collect()) == sorted(model.vocab.collect())
+    local = model.long(docs, "doc", unique_docs=True)
+    assert shuffles(local) == shuffles(docs)
+    cells = [F.col(c) for c in ("doc", "term", "idx", "tf")] + [F.round("weight", 9)]
+    assert sorted(local.select(*cells).collect()) == sorted(model.long(docs, "doc").select(*cells).collect())
+    empty = TF.fit_tfidf(docs, "doc", 2, 99, 0.9, 50)
+    assert empty.long(docs, "doc", unique_docs=True).count() == 0

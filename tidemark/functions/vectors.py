@@ -48,6 +48,12 @@ def vector_cells(vec: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, cols, values.flatten().to_numpy(zero_copy_only=False)
 
 
+def stored_cells(first: str, second: str) -> Column:
+    """array<struct<i, x, y>>: the stored cells of two sparse vector columns with the same indices."""
+    x, y = (F.unwrap_udt(F.col(c)) for c in (first, second))
+    return F.arrays_zip(x["indices"].alias("i"), x["values"].alias("x"), y["values"].alias("y"))
+
+
 def vector_times(vec: pa.Array, matrix: np.ndarray) -> np.ndarray:
     """(rows x dims) vectors, sparse and dense mixed, times (dims x k)."""
     rows, cols, values = vector_cells(vec)
