@@ -24,9 +24,8 @@ def explode_rows(df: DataFrame, keep: list, array, name: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
-def token_slices(col: pa.Array) -> Iterator[pa.ListArray]:
+def token_slices(lists: pa.ListArray) -> Iterator[pa.ListArray]:
     """A list column as slices of whole rows with at most `SLICE_TOKENS` elements, or one row."""
-    lists = col.cast(pa.list_(pa.string()))
     ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(lists) or not len(ends):

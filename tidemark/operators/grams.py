@@ -57,7 +57,7 @@ def term_counts(tokens: Column, max_n: int) -> Column:
 
     @F.arrow_udf("array<struct<term:string,n:bigint>>")
     def counted(col: pa.Array) -> pa.Array:
-        return pa.concat_arrays([_row_counts(_Slice(s, max_n), max_n) for s in token_slices(col)])
+        return pa.concat_arrays([_row_counts(_Slice(s, max_n), max_n) for s in token_slices(col.cast(pa.list_(pa.string())))])
 
     return counted(tokens)
 
@@ -81,7 +81,7 @@ def _row_counts(part: _Slice, max_n: int) -> pa.Array:
 
 def _start_rows(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lists in token_slices(batch.column(0)):
+        for lists in token_slices(batch.column(0).cast(pa.list_(pa.string()))):
             part = _Slice(lists, max_n)
             # Words: summed over the slice.
             at, counts = part.first(1)

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import explode_rows
 from tidemark.functions.bounds import MAX_BROADCAST_ROWS
-from tidemark.operators.lookup import token_positions
+from tidemark.operators.lookup import placed, token_positions
 
 # Reserved tokens with ids 0..3, and the sequence limits.
 SPECIALS = ("<pad>", "<unk>", "url", "usr")
 PAD_ID, UNK_ID = 0, 1
+#: Stands for a token that the shipped part of a vocabulary doesn't hold; never in a result.
+OPEN_ID = -1
 MAX_VOCAB = 50_000
 MAX_SEQ_LEN = 3000
 OVERLAP = 128
@@ -48,8 +50,9 @@ def build_vocab(docs: DataFrame, tokens: str = "tokens", max_size: int | None =
 def encode_tokens(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", out: str = "ids", vocab_max_rows: int | None = MAX_VOCAB, key: Sequence[str] = ()) -> DataFrame:
     """Add the id array of a token array, unknown tokens as <unk>.
 
-    A bounded vocabulary is shipped once and looked up row-locally, so no token is shuffled. An
-    unbounded one is joined on the token; `key` then names the row key to regroup by.
+    A bounded vocabulary is shipped once and looked up row-locally, so no token is shuffled. Of an
+    unbounded one the smallest ids, its most frequent tokens, are shipped as far as the broadcast
+    bound goes; only what they leave open is joined, and `key` names the row key to regroup by.
     """
     if vocab_max_rows is not None and vocab_max_rows <= MAX_BROADCAST_ROWS:
         rows = vocab.select("id", "token").orderBy("id").collect()  # at most vocab_max_rows
@@ -58,14 +61,17 @@ def encode_tokens(docs: DataFrame, vocab: DataFrame, tokens: str = "tokens", out
         return docs.withColumn(out, token_positions(F.col(tokens), [r["token"] for r in rows], missing=UNK_ID))
     if not key:
         raise ValueError("an unbounded vocabulary needs the row key")
-    cells = docs.select(*key, F.posexplode_outer(tokens).alias("_pos", "_tok")).filter(F.col("_tok").isNotNull())
-    # One row per (token, row) before the join: a frequent token meets the vocabulary once per row.
-    spots = cells.groupBy(*key, "_tok").agg(F.collect_list("_pos").alias("_at"))
-    ids = spots.join(vocab.select(F.col("token").alias("_v"), "id"), F.col("_tok") == F.col("_v"), "left")
-    pairs = F.explode(F.transform("_at", lambda p: F.struct(p.alias("p"), F.coalesce("id", F.lit(UNK_ID)).alias("i"))))
-    back = ids.select(*key, pairs.alias("e")).groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("_s"))
-    seqs = back.select(*key, F.transform("_s", lambda e: e["i"]).alias(out))
-    return docs.join(seqs, list(key), "left").withColumn(out, F.coalesce(out, F.array().cast("array<int>")))
+    head = vocab.select("id", "token").orderBy("id").limit(MAX_BROADCAST_ROWS + 1).collect()
+    words, numbers = [r["token"] for r in head[:MAX_BROADCAST_ROWS]], [r["id"] for r in head[:MAX_BROADCAST_ROWS]]
+    if len(head) <= MAX_BROADCAST_ROWS:
+        return docs.withColumn(out, token_positions(F.col(tokens), words, missing=UNK_ID, ids=numbers))
+    known = docs.withColumn(out, token_positions(F.col(tokens), words, missing=OPEN_ID, ids=numbers))
+    tail = vocab.filter(F.col("id") > numbers[-1]).select(F.col("token").alias("_tok"), "id")
+    cells = known.select(*key, F.posexplode_outer(F.arrays_zip(F.col(tokens).alias("t"), F.col(out).alias("i"))).alias("_pos", "_e"))
+    rare = cells.filter(F.col("_e.i") == OPEN_ID).select(*key, "_pos", F.col("_e.t").alias("_tok"))
+    found = rare.join(tail, "_tok").groupBy(*key).agg(F.collect_list("_pos").alias("_at"), F.collect_list("id").alias("_id"))
+    back = known.join(found, list(key), "left")
+    return back.withColumn(out, placed(F.col(out), F.col("_at"), F.col("_id"), OPEN_ID, UNK_ID)).drop("_at", "_id")
 
 
 def pad_sequences(ids: Column, length: int = MAX_SEQ_LEN) -> tuple[Column, Column]:
