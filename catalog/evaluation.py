@@ -12,6 +12,7 @@ from catalog.texts import ALL_CMAP_SQL, DOCS_SQL, VOCAB_SQL
 from tidemark.functions.arrays import explode_rows
 from tidemark.functions.text import normalize_tokens
 from tidemark.operators import diagnostics as D
+from tidemark.operators import grams as GR
 from tidemark.operators import metrics as M
 from tidemark.operators import splits as SP
 from tidemark.operators.ranking import top_features as top_features_of
@@ -122,8 +123,9 @@ def lofo_zero_fixed(spark, sf):
 
 def _contributions(spark, sf):
     f = folded(spark, sf).select("fold", "doc_id", normalize_tokens(F.col("aggr_text")).alias("tokens"))
-    words = explode_rows(f, ["fold", "doc_id"], "tokens", "token")
-    tf = words.groupBy("fold", "doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # Counted inside the row; only the join with the cluster map moves rows.
+    counts = explode_rows(f, ["fold", "doc_id"], GR.term_counts(F.col("tokens"), 1), "e")
+    tf = counts.select("fold", "doc_id", F.col("e.term").alias("token"), F.col("e.n").alias("tf"))
     weight = (F.ascii("token") * 7 + F.length("token")) % 11 - 5
     rows = tf.select("fold", "doc_id", "token", (F.col("tf") * weight).cast("double").alias("contrib"))
     out = D.cluster_contributions(rows, V.token_clusters(spark, sf), ["fold", "doc_id"])

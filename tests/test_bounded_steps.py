@@ -20,3 +20,13 @@ def test_unbounded_vocabulary_joins_only_what_the_shipped_part_leaves_open(spark
     assert {r["n"]: r["ids"] for r in small.collect()} == want
     monkeypatch.setattr(SQ, "MAX_BROADCAST_ROWS", 4)
     assert encoded(spark, docs, vocab, vocab_max_rows=None, key=["n"]) == want
+
+
+def test_contributions_count_tokens_in_the_row(spark):
+    """A count by document and token would hold all pairs of a partition in one task's memory."""
+    from catalog import evaluation as EV
+
+    rows = EV._contributions(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().logical().toString()
+    assert "contrib" in plan and "tf#" in plan and "count(1) AS tf" not in plan
+    rows.unpersist()
