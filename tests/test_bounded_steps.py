@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tidemark.operators import sequences as SQ
 
 
@@ -30,3 +32,16 @@ def test_contributions_count_tokens_in_the_row(spark):
     plan = rows._jdf.queryExecution().logical().toString()
     assert "contrib" in plan and "tf#" in plan and "count(1) AS tf" not in plan
     rows.unpersist()
+
+
+def test_mean_vectors_gather_few_cells_at_a_time():
+    import tracemalloc
+
+    from tidemark.functions.vectors import row_sums
+
+    matrix, cols = np.ones((50, 64)), np.zeros(300_000, dtype=int)
+    tracemalloc.start()
+    out = row_sums(np.sort(cols), cols, None, matrix, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out[0, 0] == 300_000 and peak < 20e6

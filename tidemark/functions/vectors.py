@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.bounds import MAX_BROADCAST_BYTES
 
 #: Cells of one gathered block; bounds the memory of a batch.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
 
 
 def check_matrix(matrix: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import explode_rows
+from tidemark.functions.arrays import explode_rows, token_slices
 from tidemark.functions.bounds import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
 from tidemark.functions.vectors import row_sums
 from tidemark.operators.lookup import token_positions
@@ -43,6 +43,9 @@ def mean_vector(tokens: Column, words: list[str], matrix: np.ndarray) -> Column:
 
     @F.arrow_udf("array<double>")
     def mean(pos: pa.Array) -> pa.Array:
+        return pa.concat_arrays([of_slice(s) for s in token_slices(pos)])
+
+    def of_slice(pos: pa.ListArray) -> pa.Array:
         lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(pos), 0))
         rows = np.repeat(np.arange(len(lengths)), lengths)
         flat = pos.flatten().to_numpy(zero_copy_only=False)

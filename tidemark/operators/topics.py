@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import explode_rows
+from tidemark.functions.arrays import explode_rows, token_slices
 from tidemark.functions.bounds import broadcast_if_bounded
 from tidemark.operators.lookup import token_positions
 
@@ -35,6 +35,9 @@ def topic_vector(tokens: Column, words: list[str], clusters: list[int], n_cluste
 
     @F.arrow_udf("array<double>")
     def shares(pos: pa.Array) -> pa.Array:
+        return pa.concat_arrays([of_slice(s) for s in token_slices(pos)])
+
+    def of_slice(pos: pa.ListArray) -> pa.Array:
         lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(pos), 0))
         rows = np.repeat(np.arange(len(lengths)), lengths)
         flat = pos.flatten().to_numpy(zero_copy_only=False)
