@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.ml.linalg import Vectors
 
+from tidemark.operators import lsa as LS
 from tidemark.operators import sequences as SQ
 
 
@@ -45,3 +47,18 @@ def test_mean_vectors_gather_few_cells_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out[0, 0] == 300_000 and peak < 20e6
+
+
+def test_components_of_few_features_come_from_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 6))
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in x], ["v"]).repartition(3)
+    seen = []
+    product = LS.RowMatrix.computeSVD
+    monkeypatch.setattr(LS.RowMatrix, "computeSVD", lambda *a, **k: seen.append(1) or product(*a, **k))
+    one = LS.fit_lsa(df, "v", 2, 6)
+    assert not seen
+    assert np.allclose(one.singular_values, np.linalg.svd(x)[1][:2])
+    monkeypatch.setattr(LS, "GRAM_FEATURES", 0)
+    many = LS.fit_lsa(df, "v", 2, 6)
+    assert seen and np.allclose(one.components, many.components) and np.allclose(one.singular_values, many.singular_values)
