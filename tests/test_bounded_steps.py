@@ -7,6 +7,7 @@ from pyspark.ml.linalg import Vectors
 
 from tidemark.operators import lsa as LS
 from tidemark.operators import sequences as SQ
+from tidemark.plans import models as MO
 
 
 def encoded(spark, docs, vocab, **kw):
@@ -62,3 +63,9 @@ def test_components_of_few_features_come_from_one_pass(spark, monkeypatch):
     monkeypatch.setattr(LS, "GRAM_FEATURES", 0)
     many = LS.fit_lsa(df, "v", 2, 6)
     assert seen and np.allclose(one.components, many.components) and np.allclose(one.singular_values, many.singular_values)
+
+
+def test_fits_run_few_tasks_on_few_rows(spark):
+    df = spark.range(300).repartition(200)
+    assert MO.packed(df, 300).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert MO.packed(df, 200 * MO.TASK_ROWS).rdd.getNumPartitions() == 200
