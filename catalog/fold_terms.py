@@ -32,7 +32,7 @@ def fold_vocabularies(spark, sf):
 def tfidf_folds(spark, sf):
     """Every document weighted by the vocabulary that hasn't seen its fold."""
     docs = _docs(spark, sf)
-    weights = TF.fit_tfidf_folds(docs, "doc_id", min_df=MIN_DF).held_out(docs, "doc_id")
+    weights = TF.fit_tfidf_folds(docs, "doc_id", min_df=MIN_DF).held_out(docs, "doc_id", unique_docs=True)
     return rounded(weights.select("fold", "doc_id", "term", "tf", "weight"))
 
 

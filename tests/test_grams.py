@@ -69,3 +69,21 @@ def test_long_weights_of_whole_documents_need_no_shuffle(spark):
     assert sorted(local.select(*cells).collect()) == sorted(model.long(docs, "doc").select(*cells).collect())
     empty = TF.fit_tfidf(docs, "doc", 2, 99, 0.9, 50)
     assert empty.long(docs, "doc", unique_docs=True).count() == 0
+
+
+def test_held_out_weights_of_whole_documents_need_no_shuffle(spark):
+    _, df = corpus(spark)
+    fold = F.when(F.col("doc") % 7 < 5, F.col("doc") % 7 + 1).when(F.col("doc") % 7 == 5, 9).cast("int")
+    docs = TF.with_terms(df.withColumn("fold", fold), 2)
+    fitted = TF.fit_tfidf_folds(docs, "doc", max_n=2, min_df=2, max_df=0.9, max_features=12)
+    local = fitted.held_out(docs, "doc", unique_docs=True)
+    assert shuffles(local) == shuffles(docs)
+    cells = ["fold", "doc", "term", "idx", "tf", F.round("weight", 9)]
+    want = sorted(map(tuple, fitted.held_out(docs, "doc").select(*cells).collect()))
+    assert sorted(map(tuple, local.select(*cells).collect())) == want and {r[0] for r in want} == {1, 2, 3, 4, 5}
+    whole = TF.fit_tfidf(docs, "doc", 2, 2, 0.9, 50)
+    assert sorted(whole.long(docs, "doc", unique_docs=True).select(*cells[1:]).collect()) == sorted(whole.long(docs, "doc").select(*cells[1:]).collect())
+    # A vocabulary that differs from fold to fold: each document meets only its own.
+    assert len({tuple(r["term"] for r in fitted.model(f).terms_in_order()) for f in range(1, 6)}) > 1
+    empty = TF.fit_tfidf_folds(docs, "doc", min_df=99)
+    assert empty.held_out(docs, "doc", unique_docs=True).count() == 0
