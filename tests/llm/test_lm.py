@@ -104,3 +104,39 @@ def test_query_equals_plain_counts(spark):
     held = [r for r in rows if r.held_out]
     print("held-out log10 a token", sum(r.score for r in held) / sum(r.n_tokens for r in held), sum(r.base_score for r in held) / sum(r.n_tokens for r in held))
     assert sum(r.score for r in held) > 1.02 * sum(r.base_score for r in held)
+
+
+def test_a_distributed_filter_answers_each_chunk_by_groups_of_segments(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 997}" for j in range(50))) for i in range(60)], "_row long, _t string").repartition(2)
+    segments, seg_bits = 64, 8 * 64
+    filter_ = lm.bloom_filter(docs, lm.word_counts(docs, "_t"), "_t", segments, seg_bits)
+    chunks = lm._chunked(docs, 600)
+    texts = {}
+    for r in chunks.collect():
+        texts.setdefault(r["_chunk"], []).append(r["_t"])
+    assert len(texts) > 3
+    rows = lm._answers(chunks, filter_, segments, seg_bits).collect()
+    assert len(rows) == len(texts)  # all segments together are far smaller than a group; before, a row for each chunk and segment
+    whole = lm._gathered(filter_, segments, seg_bits)
+    for r in rows:
+        keys = lm._keys_of(lm.Coded(lm.pa.array(texts[r["_chunk"]], lm.pa.string())))
+        assert (np.diff(keys) > 0).all()
+        assert (lm.level_counts()[np.frombuffer(r["levels"], np.uint8)] == lm.probed(whole, keys, segments, seg_bits)).all()
+
+
+def test_remembered_levels_are_those_of_the_filter():
+    rng = np.random.default_rng(2)
+    level = {int(k): int(j) for k, j in zip(rng.integers(0, 64, 40), rng.integers(0, 9, 40))}
+    held, probes = lm.Remembered(8), []
+
+    def probe(keys):
+        probes.append(len(keys))
+        return np.array([level.get(int(k), 0) for k in keys], np.uint8)
+
+    for _ in range(50):
+        keys = np.unique(rng.integers(0, 64, 20, dtype=np.uint64))
+        assert held.of(keys, probe).tolist() == [level.get(int(k), 0) for k in keys]
+    assert held.of(np.empty(0, np.uint64), probe).tolist() == []
+    best = np.uint64(max(level, key=level.get))
+    held.of(np.array([best]), probe)
+    assert held.of(np.array([best]), probe).tolist() == [level[int(best)]] and probes[-1] == 0

@@ -6,7 +6,7 @@ probes level after level until one is missing; the last hit is the quantised cou
 segments by key, each built by one group from the counts that fall into it; its size is BITS_PER_TOKEN times
 the training tokens at every size of the corpus. A filter of at most `max_filter_bytes` is broadcast. A larger
 one stays distributed, in more segments: texts are dealt into chunks of bounded size, the distinct keys of a
-chunk go to their segments, and the counts come back to the chunk.
+chunk go to their groups of segments, and one byte for each, its level, comes back to the chunk.
 
 Pair probabilities are smoothed with a Dirichlet prior on the word probabilities:
 (c(u v) + MU * p(v)) / (c(u) + MU), p(v) = (c(v) + 1) / (N + V + 1).
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ BASE, MU = 1.5, 2000.0
 HASHES, BITS_PER_TOKEN, MAX_FILTER_BYTES, SEGMENTS = 4, 5, 256 << 20, 1024
 #: A distributed filter has segments of at most so many bytes.
 SEGMENT_BYTES = 256 << 10
+#: Neighbouring segments of so many bytes in all answer together.
+GROUP_BYTES = 4 << 20
+#: Keys probed at once.
+PROBED = 1 << 16
+#: Slots for keys whose levels a worker remembers.
+REMEMBERED = 1 << 20
 #: Size of the table of frequent words that every worker holds.
 FREQUENT = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -52,9 +59,12 @@ def words_of(text: str) -> list[bytes]:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64))
@@ -66,6 +76,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return _hashes(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
 
 
+def array_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of a binary array without nulls and empty words."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return _hashes(data, np.diff(offsets).astype(np.int64))
+
+
 def _hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of the words of `lengths` bytes that lie end to end in `data`."""
     starts = np.cumsum(lengths) - lengths
@@ -74,30 +91,38 @@ def _hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(values, starts)) if len(starts) else np.empty(0, np.uint64)
 
 
-class Coded:
-    """Words of the texts of one batch, each distinct word once: `codes` point into `words`."""
+class Words:
+    """Where the words of the texts of one batch start and end."""
 
     def __init__(self, texts: pa.Array):
         texts = texts.cast(pa.binary())
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        word = WORD_BYTE[data]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
+        self.is_word = WORD_BYTE[self.data]
+        first = self.is_word.copy()
+        first[1:] &= ~self.is_word[:-1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-        first[heads] |= word[heads]
-        at, inside = np.flatnonzero(first), np.cumsum(word, dtype=np.int32)
-        bounds = np.append(inside[at] - 1, inside[-1] if len(inside) else 0).astype(np.int32)
-        lower = np.frombuffer(LOWER, np.uint8)[data[word]]
-        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(lower)])
-        coded = words.dictionary_encode()
-        self.codes, self.words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        self.hashes = word_hashes(self.words)
-        cuts = np.searchsorted(at, offsets)
+        first[heads] |= self.is_word[heads]
+        self.at = np.flatnonzero(first)
+        cuts = np.searchsorted(self.at, offsets)
         self.starts, self.lengths = cuts[:-1], np.diff(cuts)
 
 
+class Coded(Words):
+    """Words of the texts of one batch, each distinct word once: `codes` point into `words`."""
+
+    def __init__(self, texts: pa.Array):
+        super().__init__(texts)
+        inside = np.cumsum(self.is_word, dtype=np.int32)
+        bounds = np.append(inside[self.at] - 1, inside[-1] if len(inside) else 0).astype(np.int32)
+        lower = np.frombuffer(LOWER, np.uint8)[self.data[self.is_word]]
+        words = pa.Array.from_buffers(pa.binary(), len(self.at), [None, pa.py_buffer(bounds), pa.py_buffer(lower)])
+        coded = words.dictionary_encode()
+        self.codes, self.words = coded.indices.to_numpy(), coded.dictionary
+        self.hashes = array_hashes(self.words)
+
+
 def single_keys(h: np.ndarray) -> np.ndarray:
     return mixed(h + _U(0x51ED270B))
 
@@ -159,43 +184,66 @@ def level_counts(most: int = 120) -> np.ndarray:
 
 
 def _bits(low: np.ndarray, level: int, i: int, seg_bits: int) -> np.ndarray:
-    return mixed(low + _U(0xD6E8FEB86659FD93 * (level * HASHES + i) % (1 << 64))) % _U(seg_bits)
+    x = mixed(low + _U(0xD6E8FEB86659FD93 * (level * HASHES + i) % (1 << 64)))
+    # The remainder; numpy divides by one number faster than it takes remainders.
+    return x - x // _U(seg_bits) * _U(seg_bits)
 
 
 def segment_filter(low: np.ndarray, counts: np.ndarray, seg_bits: int) -> bytes:
-    order = np.argsort(low, kind="stable")
-    low, counts = low[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    low, top = low[first], levels(np.add.reduceat(counts, first))
-    bits, j = np.zeros(seg_bits // 8, np.uint8), 1
+    low, counts = _summed(low, counts)
+    top = levels(counts)
+    bits, j = np.zeros(seg_bits, bool), 1
     while len(low):
         for i in range(HASHES):
-            at = _bits(low, j, i, seg_bits)
-            np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.left_shift(1, (at & _U(7)).astype(np.uint8)).astype(np.uint8))
+            bits[_bits(low, j, i, seg_bits).view(np.int64)] = True
         j += 1
         keep = top >= j
         low, top = low[keep], top[keep]
-    return bits.tobytes()
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def probed(filter_: np.ndarray, keys: np.ndarray, segments: int, seg_bits: int) -> np.ndarray:
     """The quantised count of every key: probes level after level until one is missing."""
-    shift = _U(64 - int(math.log2(segments)))
-    base = (keys >> shift).astype(np.int64) * (seg_bits // 8) if segments > 1 else np.zeros(len(keys), np.int64)
-    low = (keys << (_U(64) - shift)) >> _U(24) if segments > 1 else keys >> _U(24)
-    return _probed(filter_, base, low, seg_bits)
-
-
-def _probed(filter_: np.ndarray, base: np.ndarray, low: np.ndarray, seg_bits: int) -> np.ndarray:
-    found, alive, j = np.zeros(len(low), np.int64), np.arange(len(low)), 1
-    while len(alive) and j < 119:
-        for i in range(HASHES):
-            at = _bits(low[alive], j, i, seg_bits)
-            hit = (filter_[base[alive] + (at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1
-            alive = alive[hit.astype(bool)]
-        found[alive] = j
-        j += 1
-    return level_counts()[found]
+    return level_counts()[probed_levels(filter_, keys, segments, seg_bits)]
+
+
+def probed_levels(filter_: np.ndarray, keys: np.ndarray, segments: int, seg_bits: int, first: int = 0) -> np.ndarray:
+    """The last level of every key in the filter, one byte each; `filter_` starts at segment `first`."""
+    shift, found = _U(64 - int(math.log2(segments))), np.zeros(len(keys), np.uint8)
+    for start in range(0, len(keys), PROBED):
+        part = keys[start : start + PROBED]
+        base = ((part >> shift).astype(np.int64) - first) * (seg_bits // 8) if segments > 1 else np.zeros(len(part), np.int64)
+        low = (part << (_U(64) - shift)) >> _U(24) if segments > 1 else part >> _U(24)
+        at, j = np.arange(start, start + len(part)), 1
+        while len(at) and j < 119:
+            for i in range(HASHES):
+                bit = _bits(low, j, i, seg_bits)
+                byte = filter_[(bit >> _U(3)).view(np.int64) + base]
+                hit = ((byte >> (bit & _U(7)).astype(np.uint8)) & 1).view(bool)
+                if not hit.all():
+                    low, base, at = low[hit], base[hit], at[hit]
+            found[at] = j
+            j += 1
+    return found
+
+
+class Remembered:
+    """Levels of keys probed before: a slot keeps its key of the highest level, as that takes most probes."""
+
+    def __init__(self, slots: int = REMEMBERED):
+        self.keys, self.levels = np.zeros(slots, np.uint64), np.zeros(slots, np.uint8)
+        self.keys[0] = 1  # belongs elsewhere, so no slot seems to hold a key at first
+
+    def of(self, keys: np.ndarray, probe) -> np.ndarray:
+        """Levels of distinct keys; `probe` gives those of keys that aren't held."""
+        slot = (keys & _U(len(self.keys) - 1)).view(np.int64)
+        found, new = self.levels[slot], np.flatnonzero(self.keys[slot] != keys)
+        got = probe(keys[new])
+        higher = got >= found[new]
+        found[new] = got
+        new, got = new[higher], got[higher]
+        self.keys[slot[new]], self.levels[slot[new]] = keys[new], got
+        return found
 
 
 def word_counts(train: DataFrame, text: str) -> DataFrame:
@@ -228,8 +276,12 @@ def _packed_batch(keys: np.ndarray, counts: np.ndarray, segments: int) -> pa.Rec
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return keys, n if counts is None else np.bincount(inverse, counts).astype(np.int64)
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def filter_shape(tokens: int, segments: int, max_bytes: int, segment_bytes: int = SEGMENT_BYTES) -> tuple[int, int, bool]:
@@ -258,10 +310,15 @@ def bloom_filter(train: DataFrame, vocabulary: DataFrame, text: str, segments: i
             yield _packed_batch(*_summed(np.concatenate(held)), segments)
 
     def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if batch.num_rows:
-                keys = single_keys(word_hashes(batch.column(0).to_pylist()))
-                yield _packed_batch(*_summed(keys, batch.column(1).to_numpy()), segments)
+                held.append((single_keys(array_hashes(batch.column(0))), batch.column(1).to_numpy().copy()))
+            if sum(len(k) for k, _ in held) > PAIR_TOKENS:
+                yield _packed_batch(*_summed(*map(np.concatenate, zip(*held))), segments)
+                held.clear()
+        if held:
+            yield _packed_batch(*_summed(*map(np.concatenate, zip(*held))), segments)
 
     def built(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(k, e) for k, e in zip(pdf["keys"], pdf["extra"])]
@@ -284,11 +341,11 @@ def _gathered(filter_: DataFrame, segments: int, seg_bits: int) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def _keys_of(texts: list[str]) -> np.ndarray:
-    """The distinct keys that the score of texts looks up."""
-    coded = Coded(pa.array(texts, pa.string()))
+def _keys_of(coded: Coded) -> np.ndarray:
+    """The distinct keys that the score of texts looks up, in order."""
     single = single_keys(np.append(coded.hashes, [START_HASH, END_HASH]))
-    return np.unique(np.concatenate([single, pair_keys(*pair_sequence(coded.hashes[coded.codes], coded.lengths))]))
+    # With counts: without, numpy goes through a hash table, which takes several times as long as a sort.
+    return np.unique(np.concatenate([single, pair_keys(*pair_sequence(coded.hashes[coded.codes], coded.lengths))]), return_counts=True)[0]
 
 
 def _chunked(rows: DataFrame, chunk_tokens: int) -> DataFrame:
@@ -298,8 +355,7 @@ def _chunked(rows: DataFrame, chunk_tokens: int) -> DataFrame:
         chunk, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             names = []
-            for t in batch.column(1).to_pylist():
-                n = len(words_of(t)) + 1
+            for n in (Words(batch.column(1)).lengths + 1).tolist():
                 if held and held + n > chunk_tokens:
                     chunk, held = chunk + 1, 0
                 held += n
@@ -310,46 +366,67 @@ def _chunked(rows: DataFrame, chunk_tokens: int) -> DataFrame:
     return checkpointed(rows.mapInArrow(dealt, f"_row {kind}, _t string, _chunk long"))
 
 
+def _blobs(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary array of values of `lengths` bytes that lie end to end in `data`."""
+    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _answers(chunks: DataFrame, filter_: DataFrame, segments: int, seg_bits: int) -> DataFrame:
-    """(_chunk, keys, counts): what a distributed filter holds for the keys of every chunk."""
-    shift = _U(64 - int(math.log2(segments)))
+    """(_chunk, part, levels): what a distributed filter holds for the keys of every chunk, cut by groups of segments.
+
+    The levels of a chunk in the order of `part` are those of its keys in order.
+    """
+    each = max(1, min(segments, 1 << int(math.log2(max(1, 8 * GROUP_BYTES // seg_bits)))))
+    parts = segments // each
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, texts = None, []
 
         def out():
-            keys = _keys_of(texts)
-            seg = (keys >> shift).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
-            names = np.unique(seg)
-            cuts = np.append(np.searchsorted(seg, names), len(keys))
-            blobs = [keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            columns = [pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), pa.array(blobs, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["seg", "_chunk", "keys"])
+            keys = _keys_of(Coded(pa.concat_arrays(texts)))
+            part = (keys >> _U(64 - int(math.log2(parts)))).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]])
+            names = part[cuts[:-1]]
+            columns = [pa.array(names, pa.int32()), pa.array([chunk] * len(names), pa.int64()), _blobs(keys.astype("<u8"), 8 * np.diff(cuts))]
+            return pa.RecordBatch.from_arrays(columns, ["part", "_chunk", "keys"])
 
         for batch in batches:
-            for t, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if c != chunk and texts:
+            names = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if names[a] != chunk and texts:
                     yield out()
                     texts.clear()
-                chunk = c
-                texts.append(t)
+                chunk = int(names[a])
+                texts.append(batch.column(0).slice(a, b - a))
         if texts:
             yield out()
 
-    def answered(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def answered(asks: pa.Table, own: pa.Table) -> pa.Table:
+        names, found = ["_chunk", "part", "levels"], []
         if not len(asks):
-            return pd.DataFrame([], columns=["_chunk", "keys", "counts"])
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names)
+        first = asks.column("part")[0].as_py() * each
         # A segment without counts has no row.
-        bits = np.frombuffer(own["bits"].iloc[0], np.uint8) if len(own) else np.zeros(seg_bits // 8, np.uint8)
-        counts = []
-        for blob in asks["keys"]:
-            keys = np.frombuffer(blob, "<u8")
-            low = (keys << (_U(64) - shift)) >> _U(24) if segments > 1 else keys >> _U(24)
-            counts.append(_probed(bits, np.zeros(len(keys), np.int64), low, seg_bits).astype("<f8").tobytes())
-        return pd.DataFrame({"_chunk": asks["_chunk"], "keys": asks["keys"], "counts": counts})
-
-    asks = chunks.select("_t", "_chunk").mapInArrow(asked, "seg int, _chunk long, keys binary")
-    return asks.groupBy("seg").cogroup(filter_.groupBy("seg")).applyInPandas(answered, "_chunk long, keys binary, counts binary")
+        bits = np.zeros((each, seg_bits // 8), np.uint8)
+        for batch in own.to_batches():
+            for seg, blob in zip(batch.column("seg").to_pylist(), batch.column("bits")):
+                bits[seg - first] = np.frombuffer(blob.as_buffer(), np.uint8)
+        bits = bits.reshape(-1)
+        for batch in asks.to_batches():
+            blobs = batch.column("keys")
+            bounds = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            keys = np.frombuffer(blobs.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view("<u8")
+            levels_ = _blobs(probed_levels(bits, keys, segments, seg_bits, first), np.diff(bounds) // 8)
+            found.append(pa.RecordBatch.from_arrays([batch.column("_chunk"), batch.column("part"), levels_], names))
+        return pa.Table.from_batches(found)
+
+    asks = chunks.select("_t", "_chunk").mapInArrow(asked, "part int, _chunk long, keys binary")
+    own = filter_.withColumn("part", F.floor(F.col("seg") / each).cast("int"))
+    return asks.groupBy("part").cogroup(own.groupBy("part")).applyInArrow(answered, "_chunk long, part int, levels binary")
 
 
 def score(
@@ -381,22 +458,44 @@ def score(
     del top
     norm = math.log10(total + distinct + 1)
 
-    def tabled() -> dict:
-        return dict(zip(table.value[0], np.log10(table.value[1] + 1.0).tolist()))
-
-    def of_rows(ids, texts: pa.Array, logs: dict, counts) -> pa.RecordBatch:
-        coded, end = Coded(texts), logs.get(END)
-        codes, lengths = coded.codes, coded.lengths
-        value = np.array([logs.get(w, np.nan) for w in coded.words])[codes] if len(codes) else np.empty(0)
+    def tabled() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Words of the table in the order of their hashes, the hashes, log counts; made once by every worker."""
+        cache = worker_cache()
+        if cache.get("lm_table") is not table.value:
+            words = pa.array(table.value[0], pa.binary())
+            hashes = array_hashes(words)
+            order = np.argsort(hashes, kind="stable")
+            cache["lm_levels"] = Remembered()
+            cache["lm_table"], cache["lm_logs"] = table.value, (words.take(pa.array(order)), hashes[order], np.log10(table.value[1] + 1.0)[order])
+        return cache["lm_logs"]
+
+    def logs_of(words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """Log counts of words, NaN for those not in the table. A word is compared itself, so equal hashes do no harm."""
+        held, known, logs = tabled()
+        if not len(held) or not len(words):
+            return np.full(len(words), np.nan)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        same = known[at] == hashes
+        same[same] = pc.equal(held.take(pa.array(at[same])), words.filter(pa.array(same))).to_numpy(zero_copy_only=False)
+        return np.where(same, logs[at], np.nan)
+
+    def of_rows(ids, coded: Coded, counts) -> pa.RecordBatch:
+        codes, lengths, rows = coded.codes, coded.lengths, len(coded.lengths)
+        end = logs_of(pa.array([END], pa.binary()), np.array([END_HASH]))[0]
+        value = logs_of(coded.words, coded.hashes)[codes]
         known = ~np.isnan(value)
-        base, sure, rare, times = [], [], [], []
-        for a, n in zip(coded.starts.tolist(), lengths.tolist()):
-            good = value[a : a + n][known[a : a + n]].tolist() + [end] * (end is not None)
-            unknown, often = np.unique(codes[a : a + n][~known[a : a + n]], return_counts=True)
-            base.append(math.fsum(good))
-            sure.append(len(good))
-            rare.append([coded.words[c] for c in unknown] + [END] * (end is None))
-            times.append(often.tolist() + [1] * (end is None))
+        row, ends = np.repeat(np.arange(rows), lengths), [] if np.isnan(end) else [float(end)]
+        good = np.where(known, value, 0.0).tolist()
+        base = [math.fsum(good[a : a + n] + ends) for a, n in zip(coded.starts.tolist(), lengths.tolist())]
+        sure = np.bincount(row[known], minlength=rows) + len(ends)
+        # Unknown words, each once a row; the end of a text follows the words of the batch.
+        kinds = len(coded.words) + 1
+        unknown = row[~known] * kinds + codes[~known]
+        if not ends:
+            unknown = np.append(unknown, np.arange(rows) * kinds + kinds - 1)
+        unknown, often = np.unique(unknown, return_counts=True)
+        words = pa.concat_arrays([coded.words, pa.array([END], pa.binary())]).take(pa.array(unknown % kinds))
+        cuts = pa.array(np.searchsorted(unknown, np.arange(rows + 1) * kinds), pa.int32())
         left, right = pair_sequence(coded.hashes[codes], lengths)
         single = counts(single_keys(np.append(coded.hashes, [START_HASH, END_HASH])))
         before, own = pair_sequence(single[:-2][codes], lengths, single[-2], single[-1])
@@ -411,28 +510,35 @@ def score(
                 pa.array(sure, pa.int64()),
                 pa.array(base, pa.float64()),
                 pa.array(sums, pa.float64()),
-                pa.array(rare, pa.list_(pa.binary())),
-                pa.array(times, pa.list_(pa.int64())),
+                pa.ListArray.from_arrays(cuts, words),
+                pa.ListArray.from_arrays(cuts, pa.array(often, pa.int64())),
             ],
             ["_row", "n_tokens", "_sure", "_base", "score", "_rare", "_times"],
         )
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, bits = tabled(), bloom.value
+        tabled()
+        bits, remembered = bloom.value, worker_cache()["lm_levels"]
+
+        def counts(keys: np.ndarray) -> np.ndarray:
+            keys, at = np.unique(keys, return_inverse=True)
+            return level_counts()[remembered.of(keys, lambda new: probed_levels(bits, new, segments, seg_bits))][at]
+
         for batch in batches:
-            yield of_rows(batch.column(0), batch.column(1), logs, lambda keys: probed(bits, keys, segments, seg_bits))
+            yield of_rows(batch.column(0), Coded(batch.column(1)), counts)
 
     def scored_chunk(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        cache = worker_cache()
-        if cache.get("lm_table") is not table.value:
-            cache["lm_table"], cache["lm_logs"] = table.value, tabled()
-        keys = np.frombuffer(b"".join(answers.column("keys").to_pylist()), "<u8")
-        found = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<f8")
-        order = np.argsort(keys, kind="stable")
-        keys, found = keys[order], found[order]
+        answers = answers.sort_by("part")
+        found = level_counts()[np.frombuffer(b"".join(answers.column("levels").to_pylist()), np.uint8)]
+        coded = Coded(rows.column("_t").combine_chunks())
+        keys = _keys_of(coded)
         ids = rows.column("_row").combine_chunks()
-        out = of_rows(ids, rows.column("_t").combine_chunks(), cache["lm_logs"], lambda wanted: found[np.searchsorted(keys, wanted)])
-        return pa.Table.from_batches([out])
+
+        def counts(wanted: np.ndarray) -> np.ndarray:
+            wanted, at = np.unique(wanted, return_inverse=True)
+            return found[np.searchsorted(keys, wanted)][at]
+
+        return pa.Table.from_batches([of_rows(ids, coded, counts)])
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     kept = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
