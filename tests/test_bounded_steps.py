@@ -69,3 +69,16 @@ def test_fits_run_few_tasks_on_few_rows(spark):
     df = spark.range(300).repartition(200)
     assert MO.packed(df, 300).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     assert MO.packed(df, 200 * MO.TASK_ROWS).rdd.getNumPartitions() == 200
+
+
+def test_components_of_few_rows_are_those_of_the_solver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.random((12, 150)) * (rng.random((12, 150)) < 0.4)
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in x], ["v"]).repartition(3)
+    monkeypatch.setattr(LS, "GRAM_FEATURES", 100)
+    few = LS.fit_lsa(df, "v", 7, 150)
+    monkeypatch.setattr(LS, "DRIVER_ROWS", 5)
+    many = LS.fit_lsa(df, "v", 7, 150)
+    assert np.allclose(few.singular_values, many.singular_values) and np.allclose(few.components, many.components, atol=1e-6)
+    monkeypatch.setattr(LS, "DRIVER_ROWS", 100)
+    assert LS.fit_lsa(df, "v", 140, 150).k == 12  # no more than the rank
